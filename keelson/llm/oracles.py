@@ -34,3 +34,22 @@ FROM queued q LEFT JOIN served s
   ON s.doc_id = q.doc_id AND s.total <= (SELECT sum(size) FROM sized)
 GROUP BY q.doc_id, q.size, q.source_size, q.target, q.source
 """
+
+CHAT = r"""
+WITH placed AS (
+  SELECT conv_id, role, text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+whole AS (
+  SELECT conv_id, count(*) AS n_turns, list({'r': role, 't': text} ORDER BY pos) AS turns,
+         string_agg('<|im_start|>' || replace(replace(coalesce(role, 'unknown'), '<|im_start|>', '<im_start>'), '<|im_end|>', '<im_end>')
+                    || chr(10) || replace(replace(coalesce(text, ''), '<|im_start|>', '<im_start>'), '<|im_end|>', '<im_end>')
+                    || '<|im_end|>' || chr(10), '' ORDER BY pos) AS rendered
+  FROM placed GROUP BY conv_id),
+one AS (
+  SELECT turns, min(conv_id) AS conv_id, count(*) AS copies, any_value(n_turns) AS n_turns, any_value(rendered) AS rendered
+  FROM whole GROUP BY turns),
+prefixes AS (SELECT DISTINCT turns[1:k] AS p FROM (SELECT turns, unnest(range(1, n_turns)) AS k FROM one))
+SELECT conv_id, 0::BIGINT AS segment, n_turns, copies, rendered
+FROM one WHERE NOT EXISTS (SELECT 1 FROM prefixes WHERE p = turns)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import mixing, oracles, packing, sharding
+from keelson.llm import chat, fingerprints, mixing, oracles, packing, sharding
 from keelson.session import table
 
 
@@ -25,12 +25,22 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle fingerprints of all documents and of their edited texts."""
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the words that the mix takes of them."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(documents).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The maximal conversations, rendered."""
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -38,9 +48,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
-    return {f.__name__: f for f in (op5_sharding, op7_mixing, op10_packing)}
+    return {f.__name__: f for f in (op5_sharding, op6_fingerprints, op7_mixing, op8_chat, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that it can express."""
-    return {"op7_mixing": oracles.MIXING}
+    return {"op7_mixing": oracles.MIXING, "op8_chat": oracles.CHAT}
