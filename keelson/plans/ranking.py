@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Rows that one window of a bucket should hold, about.
-BUCKET_ROWS = 8192
+BUCKET_ROWS = 512
 
 
 def bits_for(rows: int, per_bucket: int = BUCKET_ROWS) -> int:

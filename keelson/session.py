@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,3 +64,17 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable on executors that don't have it installed; once per application."""
+    context = spark.sparkContext
+    if getattr(context, "_keelson_shipped", False):
+        return
+    root = pathlib.Path(__file__).resolve().parent
+    archive = pathlib.Path(tempfile.mkdtemp(prefix="keelson-code-")) / "keelson.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._keelson_shipped = True
