@@ -1,8 +1 @@
 """Operators for preparing training text: filters, near duplicates, mixing, packing and more."""
-
-import sys
-
-from pyspark import cloudpickle
-
-# Executors need not have this package installed: its functions travel with the tasks.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

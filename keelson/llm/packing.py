@@ -16,6 +16,8 @@ a distributed running total, and a rank finds its pattern by a join on (length,
 
 from __future__ import annotations
 
+import functools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,46 +29,88 @@ from pyspark.sql import types as T
 
 from keelson.llm.common import batches, with_text
 from keelson.plans.ranking import bits_for, hash_bucket, hash_order, running_total
-from keelson.session import settle
+from keelson.session import settle, ship
 
 #: Tokens of a sequence, the id that ends a document, and words whose ids a task remembers.
-CAPACITY, SEPARATOR, REMEMBERED_WORDS = 2048, 0, 400_000
+CAPACITY, SEPARATOR, REMEMBERED_WORDS = 2048, 0, 800_000
 #: Ranks of one block in the join that finds a piece's pattern.
 RANK_BLOCK = 1024
 
 
+#: Parts whose tokens are those of their letters and of the marks behind them, one after another.
+SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([.,;:!?]*)")
+
+
 class WordEncoder:
     """Ids of texts as little-endian bytes, remembering the ids of each word.
 
-    The tokenizer's first step splits at white space and no token spans it, so the ids of a text are
-    those of its parts at spaces and line ends, one after another. Parts are remembered up to a bound
-    and a length; beyond the bound the memory is emptied.
+    The tokenizer's first steps put text in lower case and split it at white space and between
+    letters, digits and marks; no token spans such a split. So the ids of a text are those of its
+    parts at spaces and line ends, one after another, and a part of Latin letters with marks behind it
+    has the ids of its letters, then of its marks. Letters skip the tokenizer's first steps, as there
+    is nothing left to do; every other part passes through all of them. Parts are remembered up to a
+    number and a length; beyond the number the memory is emptied.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self._tokenizer = Tokenizer.from_file(path)
+        self._whole = Tokenizer.from_file(path)
+        self._merges = Tokenizer(self._whole.model)
         self._known: dict[str, bytes] = {}
+        # the letters that stand for bytes: printable ones for themselves, then the rest from 256 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in shown]
+        self._letters = str.maketrans({chr(b): chr(256 + i) for i, b in enumerate(rest)})
+
+    def _learn(self, parts: list[str]) -> None:
+        known = self._known
+        split, odd, marks = [], [], set()
+        for part in parts:
+            m = SIMPLE.fullmatch(part)
+            if m:
+                core, mark = m[1].lower(), m[2]
+                split.append((part, core, mark))
+                if mark:
+                    marks.add(mark)
+            else:
+                odd.append(part)
+        odd += [m for m in marks if m not in known]
+        for part, found in zip(odd, self._whole.encode_batch(odd, add_special_tokens=False)):
+            known[part] = np.asarray(found.ids, dtype="<u4").tobytes()
+        new = list({core for _, core, _ in split if core not in known})
+        for i in range(0, len(new), 20_000):
+            some = new[i : i + 20_000]
+            spelt = [w if w.isascii() else w.encode().decode("latin-1").translate(self._letters) for w in some]
+            found = self._merges.encode(spelt, is_pretokenized=True, add_special_tokens=False)
+            ids = np.asarray(found.ids, dtype="<u4").tobytes()
+            ends = (np.cumsum(np.bincount(np.asarray(found.word_ids), minlength=len(some))) * 4).tolist()
+            known.update(zip(some, (ids[a:b] for a, b in zip([0, *ends[:-1]], ends))))
+        for part, core, mark in split:
+            known[part] = known[core] + known[mark] if mark else known[core]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """For each text the bytes of its ids, 4 for each id; a null text counts as empty."""
-        parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
         if len(self._known) > REMEMBERED_WORDS:
             self._known.clear()
+        parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
         known = self._known
         new = [w for w in set().union(*parts) if w not in known]
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            for word, found in zip(some, self._tokenizer.encode_batch(some, add_special_tokens=False)):
-                known[word] = np.asarray(found.ids, dtype="<u4").tobytes()
+        self._learn(new)
         out = [b"".join([known[w] for w in words]) for words in parts]
         for word in new:
             if len(word) > 64:
-                del known[word]
+                known.pop(word, None)
+                known.pop(word.lower(), None)
         return out
 
 
+@functools.lru_cache(maxsize=2)
+def encoder(path: str) -> WordEncoder:
+    """The encoder of this process; its memory serves one task after another."""
+    return WordEncoder(path)
+
+
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
 
@@ -82,16 +126,17 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
     end = np.asarray([SEPARATOR], dtype="<u4").tobytes()
 
     def cut(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_path)
-        for batch in batches(stream):
+        words = encoder(tokenizer_path)
+        for batch in batches(stream, rows=1024):
             rows = []
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist())):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), words.encode(batch.column("text").to_pylist())):
                 ids += end
                 for n, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc_id, n, at // 4, len(part) // 4, zlib.crc32(part)))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
+    ship(docs.sparkSession)
     return with_text(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(cut, PIECES)
 
 
