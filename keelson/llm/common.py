@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ def batches(
     One row larger than ``chars`` stays a piece of its own: memory is bounded by the longest text.
     """
     for batch in stream:
-        sizes = pa.compute.binary_length(batch.column("text")).to_pylist()
+        sizes = pc.binary_length(batch.column("text")).to_pylist()
         start = held = 0
         for i, size in enumerate(sizes):
             if i > start and (i - start >= rows or held + (size or 0) > chars):

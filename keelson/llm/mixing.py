@@ -63,12 +63,12 @@ def shuffled(doc_id: Column) -> Column:
     return F.conv(F.substring(text, 1, 15), 16, 10).cast("long")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """All rows and columns of ``docs`` with size, source_size, target, copies and taken.
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, columns: list[str] | None = None) -> DataFrame:
+    """All rows of ``docs``, its ``columns`` (all by default) with size, source_size, target, copies and taken.
 
     ``copies`` says how often the document is served (0 to ``MAX_REPEATS``) and ``taken`` how many
     words that is. Order of service: virtual finish time, source (null last), pass, shuffled order,
-    doc_id, then size and CRC-32 of the text; equal rows are served in any order. The first document
+    doc_id, then size and CRC-32 of the text; equal rows are served in any order. ``columns`` must hold doc_id and source. The first document
     that would exceed the budget ends the service. Null and empty texts have size 0: they are served
     with the document before them and take nothing. With no words at all, targets are 0 and every
     document is served once. Columns of ``docs`` named like a result column are replaced.
@@ -76,12 +76,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     n = docs.count()
     bits = bits_for(n)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    kept = [c for c in columns or docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
     sized = docs.select(
-        *[c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")],
+        *kept,
         words(F.col("text")).alias("size"),
         shuffled(F.col("doc_id")).alias("_order"),
         F.crc32(text.cast("binary")).alias("_crc"),
     )
+    sized = settle(sized, "sized")  # texts are read once
     aims = settle(targets(sized.select("source", "size"), weights), "targets")
     order = ["_order", "doc_id", "size", "_crc"]
     queued = running_total(

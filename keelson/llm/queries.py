@@ -32,8 +32,8 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the words that the mix takes of them."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.mix(documents).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), columns=["doc_id", "source"])
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
