@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import chat, fingerprints, mixing, oracles, packing, sharding
+from keelson.llm import chat, fingerprints, langid, mixing, oracles, packing, quality, sharding
+from keelson.llm.common import held_out
 from keelson.session import table
 
 
@@ -18,6 +19,22 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, by a model of the documents that aren't held out."""
+    documents = table(spark, sf_dir, "documents")
+    model = langid.learn(documents)
+    found = langid.identify(documents.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, by positives and unlabelled text that aren't held out."""
+    documents = table(spark, sf_dir, "documents")
+    model = quality.learn(documents, table(spark, sf_dir, "labels"))
+    found = quality.score(documents.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 8 shards under the law ``key``, and where a ninth shard takes them."""
     eight = sharding.tree(8)
@@ -48,7 +65,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
-    return {f.__name__: f for f in (op5_sharding, op6_fingerprints, op7_mixing, op8_chat, op10_packing)}
+    return {f.__name__: f for f in (op1_langid, op3_quality, op5_sharding, op6_fingerprints, op7_mixing, op8_chat, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
