@@ -29,7 +29,9 @@ from keelson.session import ship
 
 #: Positives and unlabelled documents that are learned from at most.
 POSITIVES, UNLABELLED = 3000, 6000
-HIDDEN, STEPS, BATCH, RATE, DECAY = 16, 1500, 256, 3e-3, 1e-4
+HIDDEN, STEPS, RATE, DECAY = 16, 1200, 1e-2, 1e-5
+#: The same for the classifier that the prior is read from, which must not learn rows by heart.
+PRIOR_STEPS, PRIOR_DECAY = 300, 1e-3
 #: Probability from which a document counts as good.
 THRESHOLD = 0.3
 #: Words of one block when repetition is measured, so that it doesn't depend on a text's length.
@@ -99,21 +101,21 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logits(x), -30, 30)))
 
 
-def _train(p: np.ndarray, u: np.ndarray, gradient, seed: int) -> Model:
-    """Adam on batches of both samples; ``gradient(fp, fu)`` gives the risk's slope in each output."""
+def _train(p: np.ndarray, u: np.ndarray, gradient, seed: int, steps: int = STEPS, decay: float = DECAY) -> Model:
+    """Adam on both whole samples (small batches would often misjudge the negatives' risk); ``gradient(fp, fu)`` gives the risk's slope in each output."""
     rng = np.random.default_rng(seed)
     mean, scale = u.mean(0), u.std(0) + 1e-3
     model = Model(mean, scale, rng.normal(0, 0.3, (p.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 0.3, HIDDEN), 0.0, 1.0)
     xp, xu = model.inputs(p), model.inputs(u)
     params = [model.w1, model.b1, model.w2, np.zeros(1)]
     m, v = [np.zeros_like(a) for a in params], [np.zeros_like(a) for a in params]
-    for step in range(1, STEPS + 1):
-        x = np.concatenate([xp[rng.integers(0, len(xp), BATCH)], xu[rng.integers(0, len(xu), BATCH)]])
+    x = np.concatenate([xp, xu])
+    for step in range(1, steps + 1):
         h = np.tanh(x @ params[0] + params[1])
         f = h @ params[2] + params[3]
-        g = np.concatenate(gradient(f[:BATCH], f[BATCH:]))
+        g = np.concatenate(gradient(f[: len(xp)], f[len(xp) :]))
         back = np.outer(g, params[2]) * (1 - h**2)
-        slopes = [x.T @ back + DECAY * params[0], back.sum(0), h.T @ g + DECAY * params[2], np.array([g.sum()])]
+        slopes = [x.T @ back + decay * params[0], back.sum(0), h.T @ g + decay * params[2], np.array([g.sum()])]
         for i, s in enumerate(slopes):
             m[i], v[i] = 0.9 * m[i] + 0.1 * s, 0.999 * v[i] + 0.001 * s**2
             params[i] -= RATE * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
@@ -129,16 +131,19 @@ def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
     """Share of positives among the unlabelled rows, from rows that the classifier hasn't seen."""
 
     def apart(fp: np.ndarray, fu: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return -_sigmoid(-fp) / (2 * BATCH), _sigmoid(fu) / (2 * BATCH)
-
-    model = _train(p[::2], u[::2], apart, 1)
-    fp, fu = np.sort(model.logits(p[1::2])), np.sort(model.logits(u[1::2]))
+        return -_sigmoid(-fp) / (2 * len(fp)), _sigmoid(fu) / (2 * len(fu))
+
+    fp, fu = [], []
+    for half in (0, 1):
+        model = _train(p[half::2], u[half::2], apart, 1, PRIOR_STEPS, PRIOR_DECAY)
+        fp.append(model.logits(p[1 - half :: 2]))
+        fu.append(model.logits(u[1 - half :: 2]))
+    fp, fu = np.sort(np.concatenate(fp)), np.sort(np.concatenate(fu))
     at = np.quantile(fp, np.linspace(0.0, 0.9, 91))
     sp, su = 1 - np.searchsorted(fp, at) / len(fp), 1 - np.searchsorted(fu, at) / len(fu)
-    slack = np.sqrt(np.log(40) / 2) * (1 / np.sqrt(len(fp)) + 1 / np.sqrt(len(fu)))
     # shares of many rows only: a small share's error would decide otherwise
-    ratios = np.where(sp > 0.3, su / np.maximum(sp, 1e-9), 1.0)
-    return float(np.clip(ratios.min() + slack / 4, 0.02, 0.98))
+    ratios = np.where(sp > 0.5, su / np.maximum(sp, 1e-9), 1.0)
+    return float(np.clip(ratios.min(), 0.02, 0.98))
 
 
 def fit(p: np.ndarray, u: np.ndarray) -> Model:
@@ -150,10 +155,10 @@ def fit(p: np.ndarray, u: np.ndarray) -> Model:
 
     def risk(fp: np.ndarray, fu: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-        gu, gp = _sigmoid(fu) / BATCH, -prior * _sigmoid(fp) / BATCH
+        gu, gp = _sigmoid(fu) / len(fu), -prior * _sigmoid(fp) / len(fp)
         if negative < 0:
             return -gp, -gu
-        return gp - prior * _sigmoid(-fp) / BATCH, gu
+        return gp - prior * _sigmoid(-fp) / len(fp), gu
 
     model = _train(p, u, risk, 2)
     model.prior = prior
