@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import chat, fingerprints, langid, mixing, oracles, packing, quality, sharding
+from keelson.llm import chat, fingerprints, langid, mixing, oracles, packing, quality, sharding, toxicity
 from keelson.llm.common import held_out
 from keelson.session import table
 
@@ -35,6 +35,14 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, by labelled documents that aren't held out."""
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity.learn(documents, table(spark, sf_dir, "labels"))
+    found = toxicity.score(documents.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 8 shards under the law ``key``, and where a ninth shard takes them."""
     eight = sharding.tree(8)
@@ -65,7 +73,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
-    return {f.__name__: f for f in (op1_langid, op3_quality, op5_sharding, op6_fingerprints, op7_mixing, op8_chat, op10_packing)}
+    return {f.__name__: f for f in (op1_langid, op3_quality, op4_toxicity, op5_sharding, op6_fingerprints, op7_mixing, op8_chat, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
