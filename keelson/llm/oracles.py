@@ -53,3 +53,15 @@ prefixes AS (SELECT DISTINCT turns[1:k] AS p FROM (SELECT turns, unnest(range(1,
 SELECT conv_id, 0::BIGINT AS segment, n_turns, copies, rendered
 FROM one WHERE NOT EXISTS (SELECT 1 FROM prefixes WHERE p = turns)
 """
+
+TOPK = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""

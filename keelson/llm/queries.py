@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import chat, fingerprints, langid, mixing, oracles, packing, quality, sharding, toxicity
+from keelson.llm import chat, fingerprints, langid, mixing, oracles, packing, quality, sharding, topk, toxicity
 from keelson.llm.common import held_out
 from keelson.session import table
 
@@ -27,6 +27,11 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest other vectors of every twentieth vector."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0).drop("depth")
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of every document, by positives and unlabelled text that aren't held out."""
     documents = table(spark, sf_dir, "documents")
@@ -73,9 +78,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
-    return {f.__name__: f for f in (op1_langid, op3_quality, op4_toxicity, op5_sharding, op6_fingerprints, op7_mixing, op8_chat, op10_packing)}
+    return {f.__name__: f for f in (op1_langid, op2_topk, op3_quality, op4_toxicity, op5_sharding, op6_fingerprints, op7_mixing, op8_chat, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that it can express."""
-    return {"op7_mixing": oracles.MIXING, "op8_chat": oracles.CHAT}
+    return {"op2_topk": oracles.TOPK, "op7_mixing": oracles.MIXING, "op8_chat": oracles.CHAT}
