@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,18 +38,21 @@ CAPACITY, SEPARATOR, REMEMBERED_WORDS = 2048, 0, 800_000
 RANK_BLOCK = 1024
 
 
-#: Parts whose tokens are those of their letters and of the marks behind them, one after another.
-SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([.,;:!?]*)")
+#: Letters that lower case and composition leave alone or map one to one, and where a mark behind one begins.
+LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
+SIMPLE, MARK = re.compile(f"[{LETTERS}]+"), rf"([{LETTERS}])([!-&(-/:-@\[-`{{-~])"
+#: Texts that are left as they are: other scripts, a letter whose lower case is two, special tokens.
+OTHER = "[^\x00-įı-ɏ\u2010-\u2060]|<\\|"
 
 
 class WordEncoder:
     """Ids of texts as little-endian bytes, remembering the ids of each word.
 
     The tokenizer's first steps put text in lower case and split it at white space and between
-    letters, digits and marks; no token spans such a split. So the ids of a text are those of its
-    parts at spaces and line ends, one after another, and a part of Latin letters with marks behind it
-    has the ids of its letters, then of its marks. Letters skip the tokenizer's first steps, as there
-    is nothing left to do; every other part passes through all of them. Parts are remembered up to a
+    letters, digits and marks; no token spans such a split. So a text may be put in lower case and its
+    marks set apart from the letters before them, and its ids are those of its parts at spaces and line
+    ends, one after another. Parts of Latin letters alone skip the tokenizer's first steps, as there is
+    nothing left to do; every other part passes through all of them. Parts are remembered up to a
     number and a length; beyond the number the memory is emptied.
     """
 
@@ -65,44 +69,42 @@ class WordEncoder:
 
     def _learn(self, parts: list[str]) -> None:
         known = self._known
-        split, odd, marks = [], [], set()
-        for part in parts:
-            m = SIMPLE.fullmatch(part)
-            if m:
-                core, mark = m[1].lower(), m[2]
-                split.append((part, core, mark))
-                if mark:
-                    marks.add(mark)
-            else:
-                odd.append(part)
-        odd += [m for m in marks if m not in known]
-        for part, found in zip(odd, self._whole.encode_batch(odd, add_special_tokens=False)):
+        plain = [w for w in parts if SIMPLE.fullmatch(w) and w.islower()]
+        rest = list(set(parts).difference(plain))
+        for part, found in zip(rest, self._whole.encode_batch(rest, add_special_tokens=False)):
             known[part] = np.asarray(found.ids, dtype="<u4").tobytes()
-        new = list({core for _, core, _ in split if core not in known})
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
+        for i in range(0, len(plain), 20_000):
+            some = plain[i : i + 20_000]
             spelt = [w if w.isascii() else w.encode().decode("latin-1").translate(self._letters) for w in some]
             found = self._merges.encode(spelt, is_pretokenized=True, add_special_tokens=False)
             ids = np.asarray(found.ids, dtype="<u4").tobytes()
             ends = (np.cumsum(np.bincount(np.asarray(found.word_ids), minlength=len(some))) * 4).tolist()
             known.update(zip(some, (ids[a:b] for a, b in zip([0, *ends[:-1]], ends))))
-        for part, core, mark in split:
-            known[part] = known[core] + known[mark] if mark else known[core]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: pa.Array) -> list[bytes]:
         """For each text the bytes of its ids, 4 for each id; a null text counts as empty."""
         if len(self._known) > REMEMBERED_WORDS:
             self._known.clear()
-        parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        spaced = pc.replace_substring(pc.fill_null(texts.cast(pa.string()), ""), "\n", " ")
+        apart = pc.replace_substring_regex(pc.utf8_lower(spaced), MARK, r"\1 \2")
+        parts = pc.split_pattern(pc.if_else(pc.match_substring_regex(spaced, OTHER), spaced, apart), " ")
+        coded = parts.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
         known = self._known
-        new = [w for w in set().union(*parts) if w not in known]
-        self._learn(new)
-        out = [b"".join([known[w] for w in words]) for words in parts]
-        for word in new:
+        self._learn([w for w in words if w not in known])
+        spelt = [known[w] for w in words]
+        # the ids of all words in a row, where each begins, and so the ids of the whole texts
+        sizes = np.fromiter(map(len, spelt), np.int64, len(spelt)) // 4
+        ids, starts = np.frombuffer(b"".join(spelt), "<u4"), np.cumsum(sizes) - sizes
+        order = coded.indices.to_numpy()
+        n = sizes[order]
+        ends = np.cumsum(n)
+        flat = ids[np.repeat(starts[order] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        at = np.concatenate([[0], ends])[parts.offsets.to_numpy() - parts.offsets[0].as_py()] * 4
+        for word in words:
             if len(word) > 64:
                 known.pop(word, None)
-                known.pop(word.lower(), None)
-        return out
+        return [flat[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
 
 
 @functools.lru_cache(maxsize=2)
@@ -127,9 +129,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
 
     def cut(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(tokenizer_path)
-        for batch in batches(stream, rows=1024):
+        for batch in batches(stream, rows=4096, chars=6_000_000):
             rows = []
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), words.encode(batch.column("text").to_pylist())):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), words.encode(batch.column("text"))):
                 ids += end
                 for n, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]

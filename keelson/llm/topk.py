@@ -56,9 +56,9 @@ def walk(lists: np.ndarray, rows: np.ndarray, ids: np.ndarray, q: np.ndarray, ow
     return best_ids[order], best[order], depth
 
 
-def matrix(rows: pa.Table) -> np.ndarray:
-    """The vectors of column ``v`` as rows, shorter ones padded with zeros."""
-    column = rows.column("v").combine_chunks()
+def matrix(rows: pa.Table, name: str) -> np.ndarray:
+    """The vectors of a column as rows, shorter ones padded with zeros."""
+    column = rows.column(name).combine_chunks()
     sizes = np.diff(column.offsets.to_numpy())
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     out = np.zeros((len(sizes), sizes.max(initial=0)), np.int64)
@@ -99,18 +99,18 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64) ->
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     own = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "vec_id", "v"), F.lit(n)).cast("int")
     left = asked.select("vec_id", "v", own(query_blocks, "q").alias("qb")).withColumn("cb", spread(candidate_blocks))
-    right = ints.select("vec_id", "v", own(candidate_blocks, "c").alias("cb")).withColumn("qb", spread(query_blocks))
+    right = ints.select(F.col("vec_id").alias("id"), F.col("v").alias("w"), own(candidate_blocks, "c").alias("cb")).withColumn("qb", spread(query_blocks))
 
     def search(asking: pa.Table, offered: pa.Table) -> pa.Table:
         out: list[list[np.ndarray]] = [[], [], [], []]
         if asking.num_rows and offered.num_rows:
-            q, c = matrix(asking), matrix(offered)
+            q, c = matrix(asking, "v"), matrix(offered, "w")
             dims = max(q.shape[1], c.shape[1])
             q, c = (np.pad(x, ((0, 0), (0, dims - x.shape[1]))) for x in (q, c))
             # the least exact type: sums stay below 2^24 or 2^53, or else are integers of any size
             most = dims * int(np.abs(q).max(initial=0)) * int(np.abs(c).max(initial=0))
             q, c = (x.astype(np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else object) for x in (q, c))
-            ids = offered.column("vec_id").to_numpy()
+            ids = offered.column("id").to_numpy()
             lists = np.argsort(c, axis=0, kind="stable").astype(np.int32)
             for own_id, vector in zip(asking.column("vec_id").to_pylist(), q):
                 found, scores, depth = walk(lists, c, ids, vector, own_id, k)
