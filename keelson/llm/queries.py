@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import chat, fingerprints, langid, mixing, oracles, packing, quality, sharding, topk, toxicity
+from keelson.llm import chat, fingerprints, langid, mixing, neardup, oracles, packing, quality, sharding, topk, toxicity
 from keelson.llm.common import held_out
 from keelson.session import table
 
@@ -71,6 +71,11 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -78,7 +83,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
-    return {f.__name__: f for f in (op1_langid, op2_topk, op3_quality, op4_toxicity, op5_sharding, op6_fingerprints, op7_mixing, op8_chat, op10_packing)}
+    return {f.__name__: f for f in (op1_langid, op2_topk, op3_quality, op4_toxicity, op5_sharding, op6_fingerprints, op7_mixing, op8_chat, op9_neardup, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
