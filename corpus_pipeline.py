@@ -1,8 +1,68 @@
-"""placeholder until the stages exist."""
+"""Preparation of a training corpus: five stages, each an operator of ``keelson.llm``.
 
-STAGES = []
+``STAGES`` are applied in order; what a stage returns is written as Parquet and read again as the next
+one's documents. All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from keelson.llm import langid, mixing, neardup, packing, toxicity
+from keelson.llm.queries import tokenizer_path
+from keelson.session import settle, table
+
+
+def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told apart clearly; texts without letters and ambiguous ones go."""
+    found = langid.identify(docs, langid.learn(docs))
+    return found.where((F.col("lang_pred") != langid.UNDETERMINED) & ~F.col("ambiguous")).select(*docs.columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't toxic, by labels of documents that aren't held out."""
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).where(F.col("predicted") == 0).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document with the least doc_id; rows without an id stay."""
+    kept = neardup.classes(docs).where("doc_id = class_id").select("doc_id").distinct()
+    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return one.union(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix serves, one row for each time."""
+    served = mixing.mix(docs).where("copies > 0")
+    return served.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their places in sequences of 2048 tokens."""
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", keep_known_language),
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: Trained models and the tokenizer can't be written in SQL; tests compare stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = settle(docs, name)
+    return docs
