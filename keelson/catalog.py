@@ -1,23 +1,513 @@
-"""The registered queries: each applies one operator to the driver's tables."""
+"""The registered queries: each applies one operator to the driver's tables.
+
+Names begin with the operator's id in the survey. Where a table of the original has no counterpart
+among the driver's, a view over them stands in, built alike in Spark and in the DuckDB text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from keelson.functions import scalars as S
+from keelson.operators import documents as D
+from keelson.operators import intervals as I
+from keelson.operators import keyvalue as KV
+from keelson.operators import queue as Q
+from keelson.operators import records as R
+from keelson.operators import tree as TR
 from keelson.registry import query
 from keelson.session import table
+from keelson.sources import log as L
+from keelson.sources import objects as O
+
+# --- Views over the driver's tables -----------------------------------------------------------------
+
+
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    """event_id as key, props as document with a sparse second member."""
+    e = table(spark, sf, "events")
+    k = F.get_json_object("props", "$.k").cast("long")
+    sparse = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"k": '), k, F.lit(', "nested": {"a": {"b": '), k + 1, F.lit('}}, "kind": "'), "event_type", F.lit('"}')))
+    return e.select(F.col("event_id").alias("key"), F.coalesce(sparse, F.concat(F.lit('{"k": '), k, F.lit("}"))).alias("doc"))
+
+
+DOCS = """docs AS (SELECT event_id AS key, coalesce(CASE WHEN event_id % 3 = 0 THEN
+  '{"k": ' || k || ', "nested": {"a": {"b": ' || (k + 1) || '}}, "kind": "' || event_type || '"}' END, '{"k": ' || k || '}') AS doc
+  FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events))"""
+
+
+def _entries(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "customer")
+    return c.select(F.col("c_nationkey").alias("keyspace_id"), F.col("c_name").alias("key"), F.col("c_mktsegment").alias("value"), F.col("c_custkey").alias("id"))
+
+
+def _commands(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events")
+    return e.select("user_id", "ts", "event_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("delta"))
+
+
+K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
+
+
+# --- Sources ------------------------------------------------------------------------------------------
+
+
+@query("src_01_sql_scan", "SELECT event_id AS doc_key, json_extract_string(props,'$.k') AS k, json_extract_string(props,'$.missing') AS missing FROM events")
+def _(spark, sf):
+    docs = table(spark, sf, "events").select(F.col("event_id").alias("doc_key"), F.col("props").alias("doc"))
+    return D.project(docs, {"k": "k", "missing": "missing"}, keep=("doc_key",))
+
+
+@query("src_02_cursor_from_key", "SELECT c_name AS key, c_mktsegment AS value FROM customer WHERE c_name >= 'Customer#000000500'")
+def _(spark, sf):
+    return KV.scan(_entries(spark, sf), start=F.lit("Customer#000000500")).select("key", "value")
+
+
+@query("src_03_keyspace_scan", "SELECT c_nationkey AS keyspace_id, c_name AS key, c_mktsegment AS value FROM customer WHERE c_nationkey = 7 ORDER BY key")
+def _(spark, sf):
+    return KV.scan(_entries(spark, sf), F.lit(7), ordered=True).select("keyspace_id", "key", "value")
+
+
+@query("src_04_prefix_scan", "SELECT c_name AS key, c_mktsegment AS value FROM customer WHERE starts_with(c_name, 'Customer#00000001')")
+def _(spark, sf):
+    return KV.prefix_scan(_entries(spark, sf), "Customer#00000001").select("key", "value")
+
+
+@query("src_05_prefix_keys", "SELECT c_name AS key FROM customer WHERE starts_with(c_name, 'Customer#0000001')")
+def _(spark, sf):
+    return KV.prefix_scan(_entries(spark, sf), "Customer#0000001", keys_only=True)
+
+
+@query("src_06_structured_prefix_scan", "SELECT c_mktsegment AS value FROM customer WHERE starts_with(c_name, 'Customer#00000002')")
+def _(spark, sf):
+    return KV.prefix_scan(_entries(spark, sf), "Customer#00000002").drop("key", "keyspace_id", "id")
+
+
+@query("src_07_point_read", "SELECT c_name AS key, c_mktsegment AS value FROM customer WHERE c_name = 'Customer#000000042'")
+def _(spark, sf):
+    return R.find(_entries(spark, sf), {"key": "Customer#000000042"}).select("key", "value")
+
+
+@query("src_08_point_read_no_data", "SELECT c_name AS key, md5(c_mktsegment) AS digest FROM customer WHERE c_name = 'Customer#000000042'")
+def _(spark, sf):
+    return R.find(_entries(spark, sf), {"key": "Customer#000000042"}).select("key", F.md5("value").alias("digest"))
+
+
+@query("src_09_exists", "SELECT o_orderkey AS key, CAST(EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') AS INTEGER) AS found FROM orders")
+def _(spark, sf):
+    entries = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("key"))
+    return KV.exists(entries, table(spark, sf, "orders").select(F.col("o_orderkey").alias("key")))
+
+
+@query("src_10_dictionary", f"WITH {DOCS} SELECT name, count(*) AS occurrences FROM (SELECT unnest(json_keys(doc)) AS name FROM docs) GROUP BY name")
+def _(spark, sf):
+    return D.dictionary(_docs(spark, sf))
+
+
+FRAMES = """frames AS (SELECT source AS log, doc_id, octet_length(encode(text)) AS length,
+  CAST(coalesce(sum(16 + octet_length(encode(text))) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset"
+  FROM documents)"""
+
+
+def _frames(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").select(F.col("source").alias("log"), "doc_id", "text")
+    return L.positions(d, "log", ["doc_id"], "text")
+
+
+@query("src_11_log_read", f"WITH {FRAMES} SELECT doc_id, \"offset\", CAST(length AS INTEGER) AS length FROM frames WHERE log = 'src3' AND \"offset\" >= 10000 ORDER BY \"offset\" LIMIT 20")
+def _(spark, sf):
+    return L.read(_frames(spark, sf), "src3", 10000, 20).select("doc_id", "offset", "length")
+
+
+@query("src_12_log_decode")
+def _(spark, sf):
+    """Frames of each document encoded and decoded again: ok says that the payload came back."""
+
+    def round_trip(rows):
+        import pandas as pd
+
+        for pdf in rows:
+            good = [[p for _, p in L.decode(L.frame(t.encode()))] == [t.encode()] for t in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ok": good})
+
+    return table(spark, sf, "documents").select("doc_id", "text").mapInPandas(round_trip, "doc_id long, ok boolean")
+
+
+@query("src_13_find_by_example", "SELECT p_partkey, p_name FROM part WHERE p_brand = 'Brand#13' AND p_size = 10")
+def _(spark, sf):
+    return R.find(table(spark, sf, "part"), {"p_brand": "Brand#13", "p_size": 10}).select("p_partkey", "p_name")
+
+
+@query("src_15_key_condition", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey = 7 AND l_linenumber > 1")
+def _(spark, sf):
+    return R.find(table(spark, sf, "lineitem"), {"l_orderkey": 7}, R.compare("l_linenumber", "GREATER_THAN", 1)).select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+def _tree(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers numbered as a 4-ary tree: entries (parent, name, inode)."""
+    c = table(spark, sf, "customer")
+    parent = F.when(F.col("c_custkey") > 0, F.floor((F.col("c_custkey") - 1) / 4))
+    return c.select(parent.cast("long").alias("parent"), F.concat(F.lit("n"), "c_custkey").alias("name"), F.col("c_custkey").alias("inode"))
+
+
+TREE = "tree AS (SELECT CASE WHEN c_custkey > 0 THEN (c_custkey - 1) // 4 END AS parent, 'n' || c_custkey AS name, c_custkey AS inode FROM customer)"
+
+
+@query("src_16_list_children", f"WITH {TREE} SELECT name, inode FROM tree WHERE parent = 5")
+def _(spark, sf):
+    return _tree(spark, sf).where("parent = 5").select("name", "inode")
+
+
+@query(
+    "src_17_resolve_path",
+    f"""WITH {TREE} SELECT '/n' || a.inode || '//n' || b.inode || '/' AS path, b.inode FROM tree a JOIN tree b ON b.parent = a.inode WHERE a.parent = 0 AND a.inode <= 4
+        UNION ALL SELECT '/n1/none/' AS path, NULL""",
+)
+def _(spark, sf):
+    t = _tree(spark, sf)
+    a, b = t.alias("a"), t.alias("b")
+    real = a.join(b, F.col("b.parent") == F.col("a.inode")).where("a.parent = 0 AND a.inode <= 4")
+    paths = real.select(F.concat(F.lit("/n"), "a.inode", F.lit("//n"), "b.inode", F.lit("/")).alias("path"))
+    paths = paths.union(spark.range(1).select(F.lit("/n1/none/").alias("path")))
+    return TR.resolve(t, paths, 0, 3)
+
+
+@query("src_18_byte_range", "SELECT doc_id, substr(text, 11, 20) AS part FROM documents WHERE octet_length(encode(text)) = length(text)")
+def _(spark, sf):
+    d = table(spark, sf, "documents").where(F.octet_length("text") == F.char_length("text"))
+    return d.select("doc_id", F.decode(O.byte_range(F.encode("text", "UTF-8"), 10, 29), "UTF-8").alias("part"))
+
+
+@query("src_19_blob_by_hash", "SELECT doc_id, sha256(text) AS hash FROM documents WHERE sha256(text) IN (SELECT min(sha256(text)) FROM documents)")
+def _(spark, sf):
+    hashed = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
+    return hashed.join(F.broadcast(hashed.agg(F.min("hash").alias("hash"))), "hash", "left_semi").select("doc_id", "hash")
+
+
+@query("src_20_object_listing")
+def _(spark, sf):
+    """Names and sizes of the table files; content isn't read."""
+    listed = O.list_objects(spark, sf, "*.parquet")
+    return listed.select(S.last_part(F.col("path")).alias("name"), "length")
+
+
+SEGMENTS = f"""chunks AS (SELECT user_id AS segment, {K} AS start, {K} + 10 AS stop, event_id AS seq FROM events)"""
+
+
+def _chunks(spark: SparkSession, sf: str) -> DataFrame:
+    c = _commands(spark, sf)
+    return c.select(F.col("user_id").alias("segment"), F.col("delta").alias("start"), (F.col("delta") + 10).alias("end"), F.col("event_id").alias("seq"))
+
+
+OVERLAY = f"""{SEGMENTS},
+cuts AS (SELECT DISTINCT segment, p FROM (SELECT segment, unnest([start, stop]) AS p FROM chunks)),
+pieces AS (SELECT segment, p, lead(p) OVER (PARTITION BY segment ORDER BY p) AS til FROM cuts),
+seen AS (SELECT s.segment, s.p, s.til, max(c.seq) AS seq FROM pieces s JOIN chunks c ON s.segment = c.segment AND c.start <= s.p AND c.stop >= s.til GROUP BY ALL),
+flagged AS (SELECT *, CASE WHEN lag(til) OVER w = p AND lag(seq) OVER w = seq THEN 0 ELSE 1 END AS b FROM seen WINDOW w AS (PARTITION BY segment ORDER BY p)),
+islands AS (SELECT *, sum(b) OVER (PARTITION BY segment ORDER BY p) AS i FROM flagged),
+shown AS (SELECT segment, seq, min(p) AS start, max(til) AS "end" FROM islands GROUP BY segment, i, seq)"""
 
 
 @query(
-    "src_01_sql_scan",
-    """SELECT event_id AS doc_key, json_extract_string(props,'$.k') AS k,
-              json_extract_string(props,'$.missing') AS missing FROM events""",
+    "src_21_volume_read",
+    f"""WITH {OVERLAY}, want AS (SELECT DISTINCT segment FROM chunks)
+        SELECT segment, greatest(start, 20) AS lo, least("end", 60) AS hi, seq FROM shown WHERE start < 60 AND "end" > 20""",
 )
-def src_01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
-    return events.select(
-        F.col("event_id").alias("doc_key"),
-        F.get_json_object("props", "$.k").alias("k"),
-        F.get_json_object("props", "$.missing").alias("missing"),
-    )
+def _(spark, sf):
+    shown = I.overlay(_chunks(spark, sf), "segment", "seq")
+    want = shown.select("segment").distinct().withColumns({"from": F.lit(20).cast("long"), "until": F.lit(60).cast("long")})
+    return I.overlaps(want, shown, "segment", 50).select("segment", "lo", "hi", "seq")
+
+
+@query("src_23_collection", "SELECT r_regionkey, r_name FROM region")
+def _(spark, sf):
+    return table(spark, sf, "region")
+
+
+@query("src_24_list_queues", "SELECT DISTINCT event_type AS name FROM events WHERE starts_with(event_type, 'p')")
+def _(spark, sf):
+    queues = table(spark, sf, "events").select(F.lit("p1").alias("project"), F.col("event_type").alias("name")).distinct()
+    return Q.list_queues(queues, "p1", "p").select("name")
+
+
+@query("src_26_prefix_view", "SELECT substr(c_name, 10) AS key, c_mktsegment AS value FROM customer WHERE starts_with(c_name, 'Customer#')")
+def _(spark, sf):
+    return KV.prefix_view(_entries(spark, sf), "Customer#").select("key", "value")
+
+
+@query("src_29_columns", "SELECT column_name AS name FROM (DESCRIBE SELECT * FROM orders)")
+def _(spark, sf):
+    return spark.createDataFrame([(c,) for c in table(spark, sf, "orders").columns], "name string")
+
+
+# --- Sinks and changes ----------------------------------------------------------------------------------
+
+
+@query("snk_01_set_last_write", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS value FROM events GROUP BY user_id")
+def _(spark, sf):
+    return KV.last_write(_commands(spark, sf), ["user_id"], "event_type", ["ts", "event_id"])
+
+
+@query("snk_02_set_if_absent", "SELECT user_id, arg_min(event_type, (ts, event_id)) AS value FROM events GROUP BY user_id")
+def _(spark, sf):
+    return KV.first_write(_commands(spark, sf), ["user_id"], "event_type", ["ts", "event_id"])
+
+
+def _conditional(spark: SparkSession, sf: str) -> DataFrame:
+    """Commands: every third only if absent, views set if the value is the one before in their type."""
+    c = _commands(spark, sf)
+    op = F.when(F.col("event_id") % 7 == 0, "DELETE").otherwise("SET")
+    return c.select(
+        "user_id", "ts", "event_id", op.alias("op"), F.col("event_type").alias("value"),
+        F.when(F.col("event_id") % 2 == 0, F.col("event_type")).alias("if_value"), (F.col("event_id") % 3 == 0).alias("if_not_exists"),
+    )
+
+
+CAS = """WITH RECURSIVE cmd AS (
+  SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, CASE WHEN event_id % 7 = 0 THEN 'DELETE' ELSE 'SET' END AS op,
+         event_type AS value, CASE WHEN event_id % 2 = 0 THEN event_type END AS if_value, event_id % 3 = 0 AS absent FROM events),
+state AS (
+  SELECT user_id, 0::BIGINT AS n, NULL::VARCHAR AS v, 0::BIGINT AS applied FROM (SELECT DISTINCT user_id FROM cmd)
+  UNION ALL
+  SELECT user_id, n, CASE WHEN ok THEN CASE WHEN op = 'SET' THEN value END ELSE v END, applied + CASE WHEN ok THEN 1 ELSE 0 END
+  FROM (SELECT s.user_id, c.n, c.op, c.value, s.v, s.applied,
+               coalesce(CASE WHEN absent THEN s.v IS NULL WHEN if_value IS NOT NULL THEN s.v = if_value ELSE true END, false)
+               AND (op <> 'DELETE' OR s.v IS NOT NULL) AS ok
+        FROM state s JOIN cmd c ON c.user_id = s.user_id AND c.n = s.n + 1))
+SELECT user_id, arg_max(coalesce(v, ''), n) AS value, max(applied) AS applied FROM state GROUP BY user_id"""
+
+
+@query("snk_03_compare_and_set", CAS)
+def _(spark, sf):
+    out = KV.conditional_fold(_conditional(spark, sf), ["user_id"], ["ts", "event_id"])
+    return out.select("user_id", F.coalesce("value", F.lit("")).alias("value"), "applied")
+
+
+@query("snk_04_delete_fold", "SELECT user_id, v AS value FROM (SELECT user_id, arg_max(event_type, (ts, event_id)) AS v FROM events GROUP BY user_id) WHERE v <> 'error'")
+def _(spark, sf):
+    return KV.live(_commands(spark, sf).withColumn("op", F.col("event_type")), ["user_id"], "op", "event_type", ["ts", "event_id"], "error")
+
+
+@query("snk_05_multi_delete", "SELECT count(*) AS changed FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)")
+def _(spark, sf):
+    orders = table(spark, sf, "orders").withColumn("key", F.col("o_custkey"))
+    return KV.multi_delete(orders, table(spark, sf, "customer").where("c_nationkey = 3").select(F.col("c_custkey").alias("key")))[1]
+
+
+@query("snk_06_append_fold", "SELECT user_id, string_agg(event_type, '' ORDER BY ts, event_id) AS value FROM events GROUP BY user_id")
+def _(spark, sf):
+    return KV.appended(_commands(spark, sf), ["user_id"], "event_type", ["ts", "event_id"])
+
+
+@query("snk_07_increment_fold", f"SELECT user_id, CAST(sum({K}) AS BIGINT) AS value FROM events GROUP BY user_id")
+def _(spark, sf):
+    return KV.incremented(_commands(spark, sf), ["user_id"], F.col("delta"))
+
+
+@query("snk_08_incr_decr", f"SELECT user_id, CAST(sum(CASE WHEN event_type = 'click' THEN {K} ELSE -{K} END) AS BIGINT) AS value FROM events GROUP BY user_id")
+def _(spark, sf):
+    return KV.incremented(_commands(spark, sf), ["user_id"], F.when(F.col("event_type") == "click", F.col("delta")).otherwise(-F.col("delta")))
+
+
+@query(
+    "snk_09_compound",
+    """WITH c AS (SELECT o_orderkey AS seq, unnest([1, 2]) AS child, o_custkey, o_orderstatus, o_orderpriority FROM orders)
+       SELECT o_custkey AS key, arg_max(CASE child WHEN 1 THEN o_orderstatus ELSE o_orderpriority END, (seq, child)) AS value FROM c GROUP BY o_custkey""",
+)
+def _(spark, sf):
+    child = lambda v: F.struct(F.lit("SET").alias("op"), F.col("o_custkey").alias("key"), F.col(v).alias("value"))
+    requests = table(spark, sf, "orders").select(F.col("o_orderkey").alias("seq"), F.array(child("o_orderstatus"), child("o_orderpriority")).alias("children"))
+    return KV.last_write(KV.compound(requests), ["key"], "value", ["seq", "child"])
+
+
+@query("snk_10_structured_set", f"WITH {DOCS} SELECT key, json_extract_string(doc, '$.k') AS k, json_extract_string(doc, '$.kind') AS kind FROM docs")
+def _(spark, sf):
+    return D.expand(_docs(spark, sf), ["k", "kind"], keep=("key",))
+
+
+def _le(h: str) -> str:
+    return " || ".join(f"substr({h}, {i}, 2)" for i in range(15, 0, -2))
+
+
+VERSION = "CAST(CASE WHEN u >= 9223372036854775808 THEN u - 18446744073709551616 ELSE u END AS BIGINT)"
+VERSIONS = f"""v AS (SELECT c_custkey AS key, CAST(('0x' || {_le("md5(c_mktsegment || c_custkey)")}) AS UBIGINT)::HUGEINT AS u FROM customer)"""
+
+
+@query(
+    "snk_11_versioned_delete",
+    f"""WITH {VERSIONS}, r AS (SELECT o_orderkey AS key, CASE WHEN o_orderkey % 2 = 0 THEN {VERSION} WHEN o_orderkey % 3 = 0 THEN 1 END AS want
+          FROM orders LEFT JOIN v ON v.key = o_orderkey WHERE o_orderkey <= 3000)
+        SELECT r.key, CASE WHEN v.key IS NULL THEN 'NOT_FOUND' WHEN r.want IS NOT NULL AND r.want <> {VERSION} THEN 'VERSION_MISMATCH' ELSE 'DONE' END AS code
+        FROM r LEFT JOIN v ON r.key = v.key""",
+)
+def _(spark, sf):
+    entries = table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.concat("c_mktsegment", "c_custkey").alias("value"))
+    version = S.md5_version(F.col("value"))
+    known = entries.select(F.col("key").alias("o_orderkey"), version.alias("v"))
+    wanted = F.when(F.col("o_orderkey") % 2 == 0, F.col("v")).when(F.col("o_orderkey") % 3 == 0, F.lit(1))
+    requests = table(spark, sf, "orders").where("o_orderkey <= 3000").join(known, "o_orderkey", "left").select(F.col("o_orderkey").alias("key"), wanted.alias("if_version"))
+    return KV.versioned_delete(entries, requests, version)
+
+
+@query("snk_12_create_keyspace", "SELECT n_name AS name, CAST(n_nationkey AS BIGINT) AS id FROM nation UNION ALL SELECT 'NEW', max(n_nationkey) + 1 FROM nation")
+def _(spark, sf):
+    known = table(spark, sf, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").cast("long").alias("id"))
+    return D.ensure_keys(known, spark.range(1).select(F.lit("NEW").alias("name")))
+
+
+@query(
+    "snk_13_ensure_keys",
+    f"""WITH {DOCS}, names AS (SELECT DISTINCT unnest(json_keys(doc)) AS name FROM docs)
+        SELECT 'k' AS name, CAST(1 AS BIGINT) AS id UNION ALL SELECT name, 1 + row_number() OVER (ORDER BY name) FROM names WHERE name <> 'k'""",
+)
+def _(spark, sf):
+    known = spark.range(1).select(F.lit("k").alias("name"), F.lit(1).cast("long").alias("id"))
+    return D.ensure_keys(known, D.dictionary(_docs(spark, sf)))
+
+
+@query("snk_14_log_append", f"WITH {FRAMES} SELECT log, doc_id, \"offset\", \"offset\" + 16 + length AS next_offset FROM frames")
+def _(spark, sf):
+    return _frames(spark, sf).select("log", "doc_id", "offset", "next_offset")
+
+
+@query("snk_15_insert", "SELECT c_custkey, c_mktsegment FROM customer UNION ALL SELECT o_custkey + 1000000, min(o_orderpriority) FROM orders GROUP BY o_custkey")
+def _(spark, sf):
+    rows = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    new = table(spark, sf, "orders").groupBy((F.col("o_custkey") + 1000000).alias("c_custkey")).agg(F.min("o_orderpriority").alias("c_mktsegment"))
+    return R.insert(rows, new.union(rows.limit(5)), ["c_custkey"])
+
+
+@query(
+    "snk_16_guarded_update",
+    "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 AND c_acctbal > 0 THEN 'VIP' ELSE c_mktsegment END AS c_mktsegment, c_acctbal, (c_custkey % 2 = 0 AND c_acctbal > 0) AS changed FROM customer",
+)
+def _(spark, sf):
+    rows = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    new = rows.where("c_custkey % 2 = 0").withColumn("c_mktsegment", F.lit("VIP"))
+    return R.update(rows, new, ["c_custkey"], F.col("c_acctbal") > 0)
+
+
+@query("snk_17_upsert", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'NEW' ELSE c_mktsegment END AS c_mktsegment FROM customer UNION ALL SELECT c_custkey + 1000000, 'NEW' FROM customer WHERE c_custkey % 2 = 0")
+def _(spark, sf):
+    rows = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    even = rows.where("c_custkey % 2 = 0").withColumn("c_mktsegment", F.lit("NEW"))
+    return R.upsert(rows, even.union(even.withColumn("c_custkey", F.col("c_custkey") + 1000000)), ["c_custkey"])
+
+
+@query("snk_18_guarded_delete", "SELECT c_custkey FROM customer WHERE NOT (c_nationkey = 3 AND c_acctbal < 0)")
+def _(spark, sf):
+    rows = table(spark, sf, "customer")
+    return R.delete(rows, rows.where("c_nationkey = 3"), ["c_custkey"], F.col("c_acctbal") < 0).select("c_custkey")
+
+
+@query("snk_19_reindex", "SELECT c_custkey, lower(c_mktsegment) AS c_mktsegment FROM customer WHERE c_mktsegment <> lower(c_mktsegment)")
+def _(spark, sf):
+    return R.reindex(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), {"c_mktsegment": F.lower("c_mktsegment")})
+
+
+def _messages(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events")
+    bodies = e.select(F.col("event_type").alias("queue"), F.col("event_id").alias("message_id"), F.col("props").alias("body"))
+    sent = Q.send(bodies, 0)
+    return sent.withColumn("invisible_until", F.col("message_id") % 100 * 1000)
+
+
+@query("snk_20_send", "SELECT event_id AS message_id, md5(props) AS body_md5, CAST(1 AS BIGINT) AS version FROM events")
+def _(spark, sf):
+    return _messages(spark, sf).select("message_id", "body_md5", "version")
+
+
+RECEIVE = """received AS (SELECT queue, message_id, CAST(2 AS BIGINT) AS version, CAST(80000 AS BIGINT) AS invisible_until FROM (
+  SELECT event_type AS queue, event_id AS message_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id % 100 * 1000, event_id) AS n
+  FROM events WHERE event_id % 100 * 1000 < 50000) WHERE n <= 10)"""
+
+
+@query("snk_21_receive", f"WITH {RECEIVE} SELECT * FROM received")
+def _(spark, sf):
+    return Q.receive(_messages(spark, sf), 50_000, 10).select("queue", "message_id", "version", "invisible_until")
+
+
+@query("snk_22_delete_by_receipt", f"WITH {RECEIVE} SELECT event_type AS queue, count(*) AS remaining FROM events WHERE (event_type, event_id) NOT IN (SELECT queue, message_id FROM received WHERE message_id % 2 = 0) GROUP BY event_type")
+def _(spark, sf):
+    got = Q.receive(_messages(spark, sf), 50_000, 10)
+    after = R.upsert(_messages(spark, sf), got, ["queue", "message_id"])
+    stale = F.when(F.col("message_id") % 2 == 0, Q.receipt()).otherwise(F.concat_ws(":", "message_id", F.lit(1)))
+    return Q.delete(after, got.select("queue", stale.alias("receipt"))).groupBy("queue").agg(F.count("*").alias("remaining"))
+
+
+@query("snk_23_create_if_absent", f"WITH {TREE} SELECT parent, name FROM tree UNION SELECT 0, 'n1' UNION SELECT 0, 'new'")
+def _(spark, sf):
+    t = _tree(spark, sf).select("parent", "name")
+    new = spark.createDataFrame([(0, "n1"), (0, "new")], "parent long, name string")
+    return R.insert(t, new, ["parent", "name"])
+
+
+@query("snk_24_tombstones", f"WITH {TREE} SELECT inode, CAST(1000 AS BIGINT) AS at_millis FROM tree WHERE parent = 2")
+def _(spark, sf):
+    t = _tree(spark, sf)
+    return TR.delete(t, t.where("parent = 2").select("parent", "name"), 1000)[1].select("inode", F.col("at").alias("at_millis"))
+
+
+@query("snk_25_move", f"WITH {TREE} SELECT CASE WHEN parent = 2 THEN 3 ELSE parent END AS parent, name, inode FROM tree")
+def _(spark, sf):
+    t = _tree(spark, sf)
+    return TR.move(t, t.where("parent = 2").select("parent", "name", F.lit(3).cast("long").alias("to_parent"), F.col("name").alias("to_name")))
+
+
+@query("snk_26_blob_put", "SELECT sha256(text) AS hash, CAST(max(octet_length(encode(text))) AS BIGINT) AS length, count(*) AS copies FROM documents GROUP BY 1")
+def _(spark, sf):
+    return O.content_addressed(table(spark, sf, "documents"), "text")
+
+
+@query("snk_27_interval_overlay", f'WITH {OVERLAY} SELECT segment, start, "end", seq FROM shown')
+def _(spark, sf):
+    return I.overlay(_chunks(spark, sf), "segment", "seq")
+
+
+@query(
+    "snk_29_collection_changes",
+    f"""WITH c AS (SELECT user_id, event_type AS field, (ts, event_id) AS o, {K} AS v, event_id % 4 = 0 AS is_set FROM events),
+        b AS (SELECT user_id, field, arg_max(v, o) AS base, max(o) AS since FROM c WHERE is_set GROUP BY ALL)
+        SELECT c.user_id, c.field, CAST(coalesce(any_value(b.base), 0) + coalesce(sum(CASE WHEN NOT is_set AND (since IS NULL OR o > since) THEN v END), 0) AS VARCHAR) AS value
+        FROM c LEFT JOIN b ON c.user_id = b.user_id AND c.field = b.field GROUP BY c.user_id, c.field""",
+)
+def _(spark, sf):
+    c = _commands(spark, sf)
+    op = F.when(F.col("event_id") % 4 == 0, "$set").otherwise("$inc")
+    changes = c.select("user_id", op.alias("op"), F.col("event_type").alias("field"), F.col("delta").cast("string").alias("value"), "ts", "event_id")
+    return D.fold_fields(changes, "user_id", ["ts", "event_id"])
+
+
+@query("snk_30_snapshot", "SELECT * FROM nation")
+def _(spark, sf):
+    from keelson.session import shared_dir
+
+    folder = f"{shared_dir(spark)}/nation-snapshots"
+    for version in (1, 2):
+        O.write_snapshot(table(spark, sf, "nation"), folder, version, ["n_nationkey"])
+    return O.latest_snapshot(spark, folder)
+
+
+@query("snk_31_row_encoding", "SELECT CAST(count(*) AS BIGINT) AS n, sum(length(r_name)) AS chars FROM region")
+def _(spark, sf):
+    cells = table(spark, sf, "region").select(F.to_json(F.struct("*")).alias("row"))
+    back = cells.select(F.from_json("row", "r_regionkey int, r_name string").alias("r"))
+    return back.agg(F.count("*").alias("n"), F.sum(F.length("r.r_name")).alias("chars"))
+
+
+@query("snk_33_ref_compare_and_put", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'moved' ELSE c_mktsegment END AS c_mktsegment FROM customer")
+def _(spark, sf):
+    rows = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", F.col("c_mktsegment").alias("was"))
+    wanted = rows.where("c_custkey % 2 = 0 OR c_custkey % 3 = 0")
+    seen = F.when(F.col("c_custkey") % 3 == 0, F.col("was")).otherwise("stale")
+    new = wanted.select("c_custkey", F.lit("moved").alias("c_mktsegment"), seen.alias("was"))
+    return R.update(rows, new, ["c_custkey"], F.col("was") == F.col("_new_was")).select("c_custkey", "c_mktsegment")
+
+
+@query("snk_34_create_table_as", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey")
+def _(spark, sf):
+    from keelson.session import settle
+
+    return settle(table(spark, sf, "nation").groupBy("n_regionkey").agg(F.count("*").alias("n")), "ctas")
