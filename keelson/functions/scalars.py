@@ -10,8 +10,8 @@ from pyspark.sql import types as T
 
 
 def base64url(x: Column) -> Column:
-    """URL-safe Base64 of bytes."""
-    return F.translate(F.base64(x), "+/", "-_")
+    """URL-safe Base64 of bytes, without the line ends that ``base64`` puts in."""
+    return F.translate(F.base64(x), "+/\r\n", "-_")
 
 
 def unbase64url(x: Column) -> Column:
