@@ -67,7 +67,7 @@ def labelled(grams: np.ndarray) -> np.ndarray:
     at = np.arange(len(grams))
     count = at - np.maximum.accumulate(np.where(first, at, 0))
     out = np.empty_like(grams)
-    out[order] = mix(ranked + count.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    out[order] = np.where(first, ranked, mix(ranked + count.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
     return out
 
 
@@ -148,9 +148,10 @@ def _row_by_row(a: np.ndarray, b: np.ndarray, most: int) -> bool:
     """The same for very long texts: one row of the band at a time."""
     offsets = np.arange(-most, most + 1)
     row = np.where(offsets >= 0, offsets, most + 1).astype(np.int32)
-    padded = np.concatenate([np.full(most, -1), b.astype(np.int64), np.full(most + 1, -2)])
+    padded = np.full(len(a) + len(b) + 2 * most + 1, np.iinfo(np.int64).min)
+    padded[most : most + len(b)] = b
     for i in range(1, len(a) + 1):
-        other = np.concatenate([[-9], padded])[i : i + 2 * most + 1]
+        other = padded[i - 1 : i + 2 * most]
         up = np.concatenate([row[1:], [most + 1]]) + 1
         row = np.minimum(row + (other != a[i - 1]), up)
         row[(offsets + i < 0) | (offsets + i > len(b))] = most + 1
@@ -167,7 +168,7 @@ def linked(a: np.ndarray, b: np.ndarray, sa: np.ndarray, sb: np.ndarray) -> bool
     common = len(np.intersect1d(sa, sb, assume_unique=True))
     if common < SIMILARITY * (len(sa) + len(sb) - common):
         return False
-    return edits_within(a, b, int((1 - SIMILARITY) * max(len(a), len(b))))
+    return edits_within(a, b, int((1 - SIMILARITY) * max(len(a), len(b)) + 1e-9))
 
 
 def _lists(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
