@@ -33,7 +33,7 @@ MAX_BITS, STEPS, RATE, DECAY = 31, 150, 0.5, 1e-4
 #: Texts whose two nearest codewords have probabilities closer than this are ambiguous.
 AMBIGUITY = 0.2
 UNDETERMINED = "und"
-REMEMBERED_WORDS, LONGEST_REMEMBERED = 500_000, 48
+REMEMBERED_WORDS, LONGEST_REMEMBERED = 150_000, 48
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -162,7 +162,7 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, self._ngrams = model, Ngrams()
         self._at: dict[str, int] = {}
-        self._sums = np.zeros((1024, model.weights.shape[1] + 1))
+        self._sums = np.zeros((1024, model.weights.shape[1] + 1), np.float32)
 
     def _learn(self, words: list[str]) -> None:
         found = [self._ngrams.of(w) for w in words]
@@ -180,12 +180,13 @@ class Scorer:
         """Margins of each text, and how many n-grams it has."""
         if len(self._at) > REMEMBERED_WORDS:
             self._at.clear()
+            self._sums = np.zeros((1024, self._sums.shape[1]), np.float32)
         parts = [WORD.findall((t or "").lower()) for t in texts]
         new = [w for w in set().union(*parts) if w not in self._at]
         if new:
             self._learn(new)
         at, sums = self._at, self._sums
-        total = np.stack([sums[[at[w] for w in words]].sum(0) if words else np.zeros(sums.shape[1]) for words in parts])
+        total = np.stack([sums[[at[w] for w in words]].sum(0, dtype=np.float64) if words else np.zeros(sums.shape[1]) for words in parts])
         for w in new:
             if len(w) > LONGEST_REMEMBERED:
                 del at[w]

@@ -33,7 +33,7 @@ from keelson.plans.ranking import bits_for, hash_bucket, hash_order, running_tot
 from keelson.session import settle, ship
 
 #: Tokens of a sequence, the id that ends a document, and words whose ids a task remembers.
-CAPACITY, SEPARATOR, REMEMBERED_WORDS = 2048, 0, 800_000
+CAPACITY, SEPARATOR, REMEMBERED_WORDS = 2048, 0, 300_000
 #: Ranks of one block in the join that finds a piece's pattern.
 RANK_BLOCK = 1024
 
