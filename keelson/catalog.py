@@ -958,6 +958,40 @@ def _(spark, sf):
     return last.join(F.broadcast(last.agg(F.max("batch").alias("batch"))), "batch").select("key", "value")
 
 
+@query(
+    "str_03_visibility_queue",
+    """SELECT queue, message_id, CAST(2 AS BIGINT) AS version FROM (
+         SELECT event_type AS queue, CAST(event_id AS VARCHAR) AS message_id,
+                row_number() OVER (PARTITION BY event_type ORDER BY event_id % 100 * 1000, CAST(event_id AS VARCHAR)) AS n
+         FROM events WHERE event_id % 100 * 1000 < 50000) WHERE n <= 10""",
+)
+def _(spark, sf):
+    from keelson.session import settle, shared_dir
+    from keelson.streaming.folds import queue_stream
+
+    none = F.lit(None).cast("string")
+    e = table(spark, sf, "events")
+    sends = e.select(F.col("event_type").alias("queue"), F.col("event_id").alias("seq"), F.lit("SEND").alias("op"), F.col("event_id").cast("string").alias("message_id"), F.col("props").alias("body"), F.lit(0).cast("long").alias("n"), (F.col("event_id") % 100 * 1000).alias("now"))
+    asks = e.groupBy(F.col("event_type").alias("queue")).agg(F.lit(1 << 60).cast("long").alias("seq"))
+    asks = asks.select("queue", "seq", F.lit("RECEIVE").alias("op"), none.alias("message_id"), none.alias("body"), F.lit(10).cast("long").alias("n"), F.lit(50_000).cast("long").alias("now"))
+    commands = settle(sends.unionByName(asks), "queue-commands")
+    stream = spark.readStream.schema(commands.schema).parquet(commands.inputFiles()[0].rpartition("/")[0])
+    provider, was = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        delivered = _streamed(spark, queue_stream(stream), lambda f: lambda batch, i: batch.write.mode("overwrite").parquet(f"{f}/batch={i}"), "queue")
+    finally:
+        spark.conf.set(provider, was) if was else spark.conf.unset(provider)
+    return spark.read.parquet(delivered).select("queue", "message_id", "version")
+
+
+@query("str_05_subscription", "SELECT event_id, event_type FROM events")
+def _(spark, sf):
+    changes = _event_stream(spark, sf).select("event_id", "event_type")
+    rows = _streamed(spark, changes, lambda f: lambda batch, i: batch.write.mode("overwrite").parquet(f"{f}/batch={i}"), "subscription")
+    return spark.read.parquet(rows).select("event_id", "event_type")
+
+
 @query("str_07_late_data", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def _(spark, sf):
     from keelson.streaming.folds import windowed_counts

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from keelson.session import ship
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
@@ -16,10 +19,15 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     """Registers a query under ``name``, with DuckDB SQL that returns the same rows."""
 
     def register(function: Query) -> Query:
-        _QUERIES[name] = function
+        @functools.wraps(function)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)  # some queries have functions in Python
+            return function(spark, sf_dir)
+
+        _QUERIES[name] = run
         if oracle:
             _ORACLES[name] = oracle
-        return function
+        return run
 
     return register
 
