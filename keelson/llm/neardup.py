@@ -261,6 +261,24 @@ def block_links(asking: pa.Table, offered: pa.Table) -> pa.Table:
     return pa.table([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"]) if found else none
 
 
+def _with_text_id(digested: DataFrame) -> DataFrame:
+    """doc_id and text_id, the least doc_id of the rows with the same ``_text``.
+
+    A null text is alone. A text of more than a thousandth of all rows would gather them in one task of a join; there are
+    fewer than a thousand of those, so they are broadcast, and the others joined by a shuffle.
+    """
+    least = (
+        digested.where(F.col("doc_id").isNotNull() & F.col("_text").isNotNull())
+        .groupBy("_text").agg(F.min("doc_id").alias("text_id"), F.count("*").alias("_copies"))
+    )
+    often = settle(least.where(F.col("_copies") > max(100, digested.count() // 1000)).drop("_copies"), "often")
+    hot = digested.join(F.broadcast(often), "_text").select("doc_id", "text_id")
+    rest = digested.where(F.col("_text").isNotNull()).join(F.broadcast(often.select("_text")), "_text", "left_anti")
+    joined = rest.join(least.drop("_copies"), "_text", "left").select("doc_id", F.coalesce("text_id", "doc_id").alias("text_id"))
+    alone = digested.where(F.col("_text").isNull()).select("doc_id", F.col("doc_id").alias("text_id"))
+    return hot.unionByName(joined).unionByName(alone)
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: doc_id, class_id (the least doc_id of its near duplicates) and text_id.
 
@@ -272,9 +290,8 @@ def classes(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    digested = rows.select("doc_id", F.md5(F.col("text").cast("binary")).alias("_text"))
-    least = digested.where(F.col("doc_id").isNotNull() & F.col("_text").isNotNull()).groupBy("_text").agg(F.min("doc_id").alias("text_id"))
-    members = settle(digested.join(least, "_text", "left").select("doc_id", F.coalesce("text_id", "doc_id").alias("text_id")), "members")
+    digested = settle(rows.select("doc_id", F.md5(F.col("text").cast("binary")).alias("_text")), "digests")
+    members = settle(_with_text_id(digested), "members")
     uids = members.select(F.col("text_id").alias("uid")).where("uid IS NOT NULL").distinct()
 
     sketched = settle(sketches(known), "sketches").join(uids, F.col("doc_id") == F.col("uid"), "left_semi")

@@ -97,3 +97,9 @@ def test_odd_rows(spark):
     assert {tuple(r) for r in neardup.classes(clash).collect()} == {(1, 1, 1), (2, 1, 1)}
     nulls = neardup.classes(spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f")], "doc_id long, text string")).collect()
     assert sorted((r["doc_id"] is None, r["class_id"]) for r in nulls) == [(False, 3), (True, 3)] or len(nulls) == 2
+
+
+def test_a_text_of_most_rows(spark):
+    rows = [(i, "the same words in very many documents") for i in range(300)] + [(i, f"text number {i} stands alone here") for i in range(300, 320)]
+    got = classes(spark, rows)
+    assert {got[i] for i in range(300)} == {0} and len(set(got.values())) == 21
