@@ -68,7 +68,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, columns: list[str]
 
     ``copies`` says how often the document is served (0 to ``MAX_REPEATS``) and ``taken`` how many
     words that is. Order of service: virtual finish time, source (null last), pass, shuffled order,
-    doc_id, then size and CRC-32 of the text; equal rows are served in any order. ``columns`` must hold doc_id and source. The first document
+    doc_id, then size and CRC-32 of the text; equal rows are served in any order. The first document
     that would exceed the budget ends the service. Null and empty texts have size 0: they are served
     with the document before them and take nothing. With no words at all, targets are 0 and every
     document is served once. Columns of ``docs`` named like a result column are replaced.
@@ -78,7 +78,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, columns: list[str]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     kept = [c for c in columns or docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
     sized = docs.select(
-        *kept,
+        F.struct(*[F.col(c) for c in kept]).alias("_row"),  # apart, so that no name of theirs matters
+        "doc_id", "source",
         words(F.col("text")).alias("size"),
         shuffled(F.col("doc_id")).alias("_order"),
         F.crc32(text.cast("binary")).alias("_crc"),
@@ -136,6 +137,5 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, columns: list[str]
         here = F.struct(*[place.get(c, F.col(c)).alias(f"c{k}") for k, c in enumerate(by_time)])
         in_time = F.when(F.col("target") > 0, F.col("_cut").isNull() | (here < F.col("_cut"))).otherwise(F.lit(i == 0))
         copies = copies + in_time.cast("int")
-    return bounded.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).drop(
-        "_order", "_crc", "_bucket", "_before", "_null_source", "_cut"
-    )
+    counted = bounded.withColumn("copies", copies)
+    return counted.select("_row.*", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))

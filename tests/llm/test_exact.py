@@ -113,6 +113,9 @@ def test_mixing_of_odd_rows(spark):
     assert len(out) == len(ODD)
     assert sorted(r["size"] for r in out) == sorted(len((t or "").split()) for _, t, *_ in ODD)
     assert all(r["taken"] == r["copies"] * r["size"] for r in out)
+    clash = mixing.mix(spark.createDataFrame([(1, "a b", "s", 5, "x")], "doc_id long, text string, source string, _order long, target string"))
+    assert clash.columns == ["doc_id", "text", "source", "_order", "size", "source_size", "target", "copies", "taken"]
+    assert [tuple(r) for r in clash.collect()] == [(1, "a b", "s", 5, 2, 2, 2.0, 1, 2)]
     empty = mixing.mix(spark.createDataFrame([(1, None, "a", ""), (2, " ", "b", "")], DOCS)).collect()
     assert [(r["target"], r["taken"], r["copies"]) for r in empty] == [(0.0, 0, 1)] * 2
     assert mixing.mix(spark.createDataFrame([], DOCS)).count() == 0
