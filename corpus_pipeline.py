@@ -38,7 +38,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix serves, one row for each time."""
     served = mixing.mix(docs).where("copies > 0")
-    return served.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    return served.withColumn("time of service", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
