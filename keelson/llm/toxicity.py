@@ -1,6 +1,7 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-A text's words are cut into overlapping windows, all of them, to its end. Each word comes in as its
+A text's words are cut into overlapping windows, all of them, to its end. Words with marks inside are read
+whole and by the parts between the marks, long ones in pieces that overlap. Each word comes in as its
 own vector (words that training saw often) plus the scaled sum of its character n-grams' (all words,
 so inflected or unseen forms are read too). A gated recurrent unit runs over a window in each
 direction, attention pools the states, and a text is as toxic as its most toxic window.
@@ -15,9 +16,11 @@ weights once for each distinct word.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +43,21 @@ ROUNDS, BATCHES, BATCH, RATE, DECAY, CALIBRATE = 4, 250, 256, 6e-3, 1e-5, 4
 #: Share of a text's greatest log odds from which words stand out, and of the words around them that are swapped.
 PEAK, SWAPPED = 0.8, 0.3
 THRESHOLD = 0.5
-REMEMBERED_WORDS, LONGEST_WORD = 150_000, 40
-EDGES = re.compile(r"^\W+|\W+$")
+#: Words remembered, characters of a piece of a word, and those that it shares with the next piece.
+REMEMBERED_WORDS, LONGEST_WORD, OVERLAP = 150_000, 40, 12
+
+
+def _joining() -> str:
+    """Signs that belong to the letter before them (vowel signs, accents, joiners), as ranges of a character class."""
+    signs = [c for c in (*range(0x20000), *range(0xE0100, 0xE01F0)) if unicodedata.category(chr(c)) in ("Mn", "Mc", "Me", "Cf")]
+    first = [c for c, before in zip(signs, [-1, *signs]) if c != before + 1]
+    last = [c for c, after in zip(signs, [*signs[1:], -1]) if c != after - 1]
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(first, last))
+
+
+JOINING = _joining()
+JOINED = re.compile(f"[{JOINING}]*")
+PARTS = re.compile(rf"[^\W_](?:[^\W_]|[{JOINING}])*")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -49,9 +65,33 @@ def words_of(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
-def core_of(word: str) -> str:
-    """A word without marks around it, up to ``LONGEST_WORD`` characters; a word of marks stays itself."""
-    return (word if word.isalnum() else EDGES.sub("", word) or word)[:LONGEST_WORD]
+def pieces_of(word: str) -> list[str]:
+    """What is read of a word: all of it but the marks around it, in pieces of at most ``LONGEST_WORD`` characters.
+
+    Of a word with marks inside, the parts between them follow the whole. A word of marks stays itself.
+    """
+    if word.isalnum():
+        return _cut(word)
+    core = _core(word)
+    parts = PARTS.findall(core)
+    return _cut(core) + ([] if parts == [core] else [x for part in parts for x in _cut(part)])
+
+
+def _core(word: str) -> str:
+    """A word without the marks around it; looked for from both ends, so in time proportional to their number."""
+    begin, end = 0, len(word)
+    while end and not (word[end - 1].isalnum() or word[end - 1] == "_"):
+        end -= 1
+    if not end:
+        return word
+    while not (word[begin].isalnum() or word[begin] == "_"):
+        begin += 1
+    return word[begin : JOINED.match(word, end).end()]
+
+
+def _cut(run: str) -> list[str]:
+    """Consecutive pieces of a run; each shares its last ``OVERLAP`` characters with the next one."""
+    return [run[i : i + LONGEST_WORD] for i in range(0, max(1, len(run) - OVERLAP), LONGEST_WORD - OVERLAP)]
 
 
 def grams_of(words: list[str], buckets: int | None = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
@@ -294,9 +334,9 @@ class _Trainer:
 def fit(texts: list[str], toxic: np.ndarray, clean_weight: float = 1.0, seed: int = 5) -> Model:
     """Trains on texts and their labels (0 or 1); ``clean_weight`` is what a false alarm counts for."""
     pool: dict[str, str] = {}  # one object for each distinct word
-    cut = [[pool.setdefault(w, w) for w in map(core_of, words_of(t))] for t in texts]
+    cut = [[pool.setdefault(w, w) for word in words_of(t) for w in pieces_of(word)] for t in texts]
     kept = [i for i, t in enumerate(cut) if t]
-    cut, toxic = [cut[i] for i in kept], np.asarray(toxic)[kept]
+    texts, cut, toxic = [texts[i] for i in kept], [cut[i] for i in kept], np.asarray(toxic)[kept]
     rng = np.random.default_rng(seed)
     judge = np.zeros(len(cut), bool)  # texts that the scale is taken from, and nothing else
     judge[rng.permutation(len(cut))[: len(cut) // CALIBRATE]] = True
@@ -338,7 +378,7 @@ def fit(texts: list[str], toxic: np.ndarray, clean_weight: float = 1.0, seed: in
         positive = np.union1d(found, first)
         hard = clean[logits[clean] >= np.quantile(logits[clean], 0.95)]
     scale = [i for i in range(len(cut)) if judge[i]] or list(range(len(cut)))
-    _calibrate(model, Scorer(model).tops([cut[i] for i in scale]), toxic[scale], clean_weight)
+    _calibrate(model, Scorer(model).tops([words_of(texts[i]) for i in scale]), toxic[scale], clean_weight)
     return model
 
 
@@ -404,36 +444,36 @@ class Scorer:
         self._clear()
 
     def _clear(self) -> None:
-        self._at: dict[str, int] = {}
-        self._n = 0
+        self._rows: dict[str, int] = {}  # of pieces
+        self._at: dict[str, tuple[int, ...]] = {}  # the rows of words' pieces
         self._x = np.zeros((2, 4096, 3 * STATE), np.float32)
 
     def _learn(self, words: list[str]) -> None:
-        """Words with the same core share an entry."""
-        cores = [core_of(w) for w in words]
-        new = [c for c in dict.fromkeys(cores) if c not in self._at]
-        n = self._n
+        """Words share the entries of equal pieces."""
+        pieces = [pieces_of(w) for w in words]
+        n = len(self._rows)
+        new = [c for c in dict.fromkeys(chain.from_iterable(pieces)) if c not in self._rows]
         while n + len(new) > self._x.shape[1]:
             self._x = np.concatenate([self._x, np.zeros_like(self._x)], axis=1)
         if new:
             x = self.model.inputs(new)
             self._x[0, n : n + len(new)], self._x[1, n : n + len(new)] = x[:, : 3 * STATE], x[:, 3 * STATE :]
-            self._at.update(zip(new, range(n, n + len(new))))
-            self._n += len(new)
-        self._at.update((w, self._at[c]) for w, c in zip(words, cores))
+            self._rows.update(zip(new, range(n, n + len(new))))
+        self._at.update((w, tuple(map(self._rows.__getitem__, some))) for w, some in zip(words, pieces))
 
     def tops(self, parts: list[list[str]]) -> np.ndarray:
         """The greatest logit of each text's windows; minus infinity for a text without words."""
-        if len(self._at) > REMEMBERED_WORDS:
+        if max(len(self._rows), len(self._at)) > REMEMBERED_WORDS:
             self._clear()
         new = [w for w in set().union(*parts) if w not in self._at]
         if new:
             self._learn(new)
-        flat = np.array([n for words in parts for n in map(self._at.__getitem__, words)], np.int64)
+        found = [list(chain.from_iterable(map(self._at.__getitem__, words))) for words in parts]
+        sizes = [len(f) for f in found]
+        flat = np.fromiter(chain.from_iterable(found), np.int64, sum(sizes))
         for w in new:
             if len(w) > LONGEST_WORD:
                 del self._at[w]
-        sizes = [len(w) for w in parts]
         first = np.cumsum([0, *sizes])
         spans = [windows_of(n) for n in sizes]
         starts = np.array([f + x for f, span in zip(first, spans) for x in span], np.int64)
@@ -460,8 +500,8 @@ SCHEMA = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("pr
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """All rows and columns of ``docs`` with score (of the most toxic window, 0 to 1) and predicted.
 
-    Null and empty texts and texts without a word score 0. Words are read up to ``LONGEST_WORD``
-    characters; every window of a text of any length counts. Columns with these names are replaced.
+    Null and empty texts and texts without a word score 0. Words of any length are read to their end, and
+    every window of a text of any length counts. Columns with these names are replaced.
     """
     kept = docs.drop("score", "predicted")
 

@@ -154,6 +154,33 @@ def test_toxic_words_anywhere_in_a_long_text(spark, model):
     assert scores[0] < min(scores[1:]) and (scores[1:] > 0.5).all()
 
 
+def test_words_are_read_to_their_end():
+    rng = np.random.default_rng(2)
+    for n in (1, 39, 40, 41, 67, 68, 69, 1000):
+        for alphabet in ("abcdefghij", "語言文字章句", "कहिदी", "ab.,_-/#"):
+            word = "x" + "".join(rng.choice(list(alphabet), n - 1))
+            core, at = toxicity.pieces_of(word), 0
+            whole = word.rstrip(".,-/#")
+            assert max(map(len, core)) <= toxicity.LONGEST_WORD
+            for i in range(0, max(1, len(whole) - toxicity.OVERLAP), toxicity.LONGEST_WORD - toxicity.OVERLAP):
+                assert i <= at and core.pop(0) == whole[i : i + toxicity.LONGEST_WORD]
+                at = i + toxicity.LONGEST_WORD
+            assert at >= len(whole)
+    assert toxicity.pieces_of("(you,idiot_there!)") == ["you,idiot_there", "you", "idiot", "there"]
+    assert toxicity.pieces_of("word!") == ["word"] and toxicity.pieces_of("!?") == ["!?"]
+    assert len(toxicity.pieces_of("a" + "." * 1_000_000 + "b!")) > 30_000
+
+
+@pytest.mark.parametrize("mark", [",", ".", "_", "-", "/", "###"])
+def test_toxic_words_in_a_text_without_spaces(spark, model, mark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    plain = docs.join(labels.where("toxic = 0 AND quality = 1"), "doc_id").where("lang = 'en'").orderBy("doc_id").limit(4).collect()
+    words = " ".join(r["text"] for r in plain).split()[:1500]
+    toxic = [*words[:1000], "idiot", "stupid", "loser", *words[1000:]]
+    scores = toxicity.Scorer(model).score([mark.join(words), mark.join(toxic)])
+    assert scores[0] < 0.5 < scores[1]
+
+
 def test_toxicity_of_odd_rows(spark, model, docs, labels):
     rows = toxicity.score(spark.createDataFrame(ODD, SCHEMA), model).collect()
     assert len(rows) == len(ODD) and [r["score"] for r in rows[:2]] == [0, 0] and all(0 <= r["score"] <= 1 for r in rows)
