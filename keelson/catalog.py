@@ -807,6 +807,16 @@ def _(spark, sf):
     return table(spark, sf, "part").orderBy(F.col("p_size").desc(), "p_partkey").select("p_partkey").limit(50)
 
 
+@query("srt_01_key_order_whole", "SELECT c_name AS key FROM customer ORDER BY key")
+def _(spark, sf):
+    return KV.scan(_entries(spark, sf), ordered=True).select("key")
+
+
+@query("srt_02_priority_order_whole", "SELECT p_partkey FROM part ORDER BY p_size DESC, p_partkey")
+def _(spark, sf):
+    return table(spark, sf, "part").orderBy(F.col("p_size").desc(), "p_partkey").select("p_partkey")
+
+
 @query("srt_03_top_n", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
 def _(spark, sf):
     return table(spark, sf, "orders").orderBy(F.col("o_totalprice").desc(), "o_orderkey").select("o_orderkey", "o_totalprice").limit(25)

@@ -37,6 +37,15 @@ def test_oracle(spark, sf, duck, name):
     assert got == want
 
 
+@pytest.mark.parametrize("name, rows", [("srt_01_key_order_whole", "customer"), ("srt_02_priority_order_whole", "part")])
+def test_whole_table_in_order(spark, sf, duck, name, rows):
+    df = registry.queries()[name](spark, sf)
+    got = [tuple(r) for r in df.collect()]
+    assert got == duck.execute(registry.oracle_sql()[name]).fetchall()
+    assert len(got) == duck.execute(f"SELECT count(*) FROM {rows}").fetchone()[0]
+    assert "TakeOrdered" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_rows_only(spark, sf, name):
     assert registry.queries()[name](spark, sf).count() > 0
