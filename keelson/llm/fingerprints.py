@@ -42,15 +42,31 @@ def fingerprint(nodes: Column) -> Column:
     return F.concat(F.sha2(F.array_join(digests, "#"), 256), F.lit("#"), F.array_join(shown, "#"))
 
 
-def leaf_set(nodes: Column) -> Column:
-    """Distinct leaf digests of a tree."""
-    return F.array_distinct(F.flatten(F.flatten(nodes)["l"]))
+def leaf_list(nodes: Column) -> Column:
+    """All leaf digests of a tree, each as often as it stands in the text."""
+    return F.flatten(F.flatten(nodes)["l"])
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Shared leaves of two leaf sets, 0 to 1: twice the common ones by the sum of both; two empty sets are alike."""
+    """Shared leaves of two leaf lists, 0 to 1: twice the common ones by the sum of both; two empty lists are alike.
+
+    A leaf counts as often as both have it. The sorted leaves of both are gone through once: a leaf's places in ``a``
+    come first, and each one in ``b`` takes one of them.
+    """
     both = F.size(a) + F.size(b)
-    return F.when(both == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(a, b)) / both)
+    marked = lambda leaves, side: F.transform(leaves, lambda x: F.concat(x, F.lit(f" {side}")))
+
+    def step(at: Column, x: Column) -> Column:
+        leaf, own = F.substring_index(x, " ", 1), x.endswith("a")
+        free = F.when(leaf == at["leaf"], at["free"]).otherwise(0)
+        return F.struct(
+            leaf.alias("leaf"), F.when(own, free + 1).otherwise(F.greatest(free - 1, F.lit(0))).alias("free"),
+            (at["common"] + F.when(own | (free == 0), 0).otherwise(1)).alias("common"),
+        )
+
+    start = F.struct(F.lit("").alias("leaf"), F.lit(0).alias("free"), F.lit(0).alias("common"))
+    common = F.aggregate(F.sort_array(F.concat(marked(a, "a"), marked(b, "b"))), start, step, lambda at: at["common"])
+    return F.when(both == 0, F.lit(1.0)).otherwise(2.0 * common / both)
 
 
 def beside_next(docs: DataFrame) -> DataFrame:
@@ -101,9 +117,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     trees = beside.select(
         "doc_id", "text", "_edited",
         tree(F.col("text")).alias("_tree"), tree(F.col("_edited")).alias("_etree"),
-        leaf_set(tree(F.col("_next"))).alias("_nleaves"),
+        leaf_list(tree(F.col("_next"))).alias("_nleaves"),
     )
-    leaves = leaf_set(F.col("_tree"))
+    leaves = leaf_list(F.col("_tree"))
     known = F.flatten(F.col("_tree"))["d"]
     differing = F.flatten(
         F.transform(
@@ -119,7 +135,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         F.sha2("_edited", 256).alias("edited_sha256"),
         fingerprint(F.col("_tree")).alias("fingerprint"),
         fingerprint(F.col("_etree")).alias("edited_fingerprint"),
-        likeness(leaves, leaf_set(F.col("_etree"))).alias("near_edited"),
+        likeness(leaves, leaf_list(F.col("_etree"))).alias("near_edited"),
         likeness(leaves, F.col("_nleaves")).alias("near_next"),
         differing.alias("edited_branches"),
     )

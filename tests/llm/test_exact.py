@@ -2,6 +2,7 @@
 
 import hashlib
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -197,6 +198,18 @@ def test_branches_locate_the_edit(spark):
     assert found[1] == [[1, 0]]
 
 
+def test_likeness_counts_repeats(spark):
+    rng = np.random.default_rng(4)
+    pairs = [(["x"] * 100, ["x"] * 75 + [str(i) for i in range(22)]), ([], []), (["a"], []), (["ab", "a", "a"], ["a", "ab", "ab"])]
+    pairs += [tuple([str(x) for x in rng.integers(0, 5, rng.integers(0, 30))] for _ in "ab") for _ in range(40)]
+    out = spark.createDataFrame(pairs, "a array<string>, b array<string>").select("a", "b", fingerprints.likeness(F.col("a"), F.col("b")).alias("l")).collect()
+    for r in out:
+        common = sum((Counter(r["a"]) & Counter(r["b"])).values())
+        assert r["l"] == (2 * common / (len(r["a"]) + len(r["b"])) if r["a"] or r["b"] else 1)
+    rows = [(1, "One equal line.\n" * 100, "a", ""), (2, "".join(f"No {i} is like it.\n" for i in range(100)), "a", "")]
+    assert {r["doc_id"]: r["near_edited"] > 0.7 for r in fingerprints.fingerprints(spark.createDataFrame(rows, DOCS)).collect()}[1]
+
+
 # --- chats ---
 
 TURNS = "conv_id long, turn long, role string, text string"
