@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.session import settle
+from keelson.session import discard, settle
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,6 +24,10 @@ def components(edges: DataFrame) -> DataFrame:
             "node", F.least("_new", F.coalesce("_up", "_new")).alias("label"), (F.least("_new", F.coalesce("_up", "_new")) != F.col("label")).alias("_moved")
         )
         step = settle(jumped, "labels")
-        labels = step.select("node", "label")
+        discard(labels)
+        labels = step
         if not step.where("_moved").head(1):
-            return labels.withColumnRenamed("label", "component")
+            discard(both)
+            found = settle(labels.select("node", F.col("label").alias("component")), "components")
+            discard(labels)
+            return found

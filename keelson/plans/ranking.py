@@ -29,7 +29,7 @@ def hash_bucket(order: Column, bits: int) -> Column:
 
 
 def running_total(
-    df: DataFrame, group: list[str], bucket: str, order: list[str], value: Column, name: str
+    df: DataFrame, group: list[str], bucket: str, order: list[Column | str], value: Column, name: str
 ) -> DataFrame:
     """Adds ``name``: the sum of ``value`` over earlier rows of the group (exclusive).
 
@@ -38,22 +38,16 @@ def running_total(
     rows it holds. Only one row for each group and bucket meets in the window over buckets. Nulls in
     ``group`` form a group of their own. Equal rows get their totals in any order.
     """
-    keyed = df.withColumn("_value", value)
-    keys = [*group, bucket]
-    sums = keyed.groupBy(*keys).agg(F.sum("_value").alias("_sum"))
-    over = Window.partitionBy(*group) if group else Window.partitionBy()
-    before = over.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-        F.coalesce(F.sum("_sum").over(before), F.lit(0)).cast(T.LongType()).alias("_start"),
-    )
-    within = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    # One struct as the key: nulls in it equal each other, and window, sums and join share its partitioning.
+    keyed = df.withColumns({"_value": value, "_key": F.struct(*group, bucket)})
+    sums = keyed.groupBy("_key").agg(F.sum("_value").alias("_sum"))
+    over = Window.partitionBy(*[F.col("_key")[k] for k in group])
+    before = over.orderBy(F.col("_key")[bucket]).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("_key", F.coalesce(F.sum("_sum").over(before), F.lit(0)).cast(T.LongType()).alias("_start"))
+    within = Window.partitionBy("_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = keyed.withColumn("_local", F.coalesce(F.sum("_value").over(within), F.lit(0)))
-    same = F.lit(True)
-    for i, k in enumerate(keys):
-        same = same & local[k].eqNullSafe(starts[f"_k{i}"])
     return (
-        local.join(starts, same, "left")
+        local.join(starts, "_key", "left")
         .withColumn(name, (F.col("_start") + F.col("_local")).cast(T.LongType()))
-        .drop("_value", "_local", "_start", *[f"_k{i}" for i in range(len(keys))])
+        .drop("_value", "_local", "_start", "_key")
     )

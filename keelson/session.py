@@ -57,13 +57,22 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     """Writes ``df`` to the shared folder and reads it again.
 
     What follows reads the same rows however often it runs, has a short lineage, and an executor
-    that is lost takes nothing with it.
+    that is lost takes nothing with it. ``discard`` deletes the table when it is no longer needed.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._keelson_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes settled tables, once everything that was made of them has been settled itself."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._keelson_path)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def ship(spark: SparkSession) -> None:
