@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import pickle
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from keelson.session import ship
 
 #: Rows of a table whose key's remainder is this are never learned from.
 FOLDS, HELD_OUT_FOLD = 5, 0
@@ -34,6 +39,53 @@ def bounded_sample(df: DataFrame, key: Column, bound: int, rows: int) -> DataFra
     return df.where(F.shiftrightunsigned(F.xxhash64(F.lit("sample"), key), 34) < share)
 
 
+def bounded_texts(df: DataFrame, key: str, rows: int, bytes_: int) -> DataFrame:
+    """Rows of ``df`` (``key``, text, ...), at most about ``rows`` of them with ``bytes_`` bytes of text; all, if they are fewer.
+
+    Rows are chosen by a hash of key and text, so neither a repeated key nor long texts exceed the bound. Equal
+    rows stand or fall together and are counted once.
+    """
+    one = df.dropDuplicates([key, "text"])
+    n, size = one.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    share = min(rows / max(n, 1), bytes_ / max(size or 0, 1))
+    if share >= 1:
+        return one
+    place = F.shiftrightunsigned(F.xxhash64(F.lit("row"), key, "text"), 34)
+    return df.where(place < int(share * (1 << 30))).dropDuplicates([key, "text"])
+
+
+def fit_in_task(rows: DataFrame, fit: Callable[[pa.Table], object]) -> object:
+    """What ``fit`` makes of a bounded table, worked out by one task; only the result comes to the driver."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = list(stream)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(pa.Table.from_batches(found)))], pa.binary())], ["model"])
+
+    ship(rows.sparkSession)
+    got = rows.repartition(1).mapInArrow(run, "model binary").collect()
+    if got:
+        return pickle.loads(got[0]["model"])
+    empty = pa.table({name: pa.array([], kind) for name, kind in ((f.name, _arrow(f.dataType)) for f in rows.schema.fields)})
+    return fit(empty)
+
+
+def _arrow(kind: T.DataType) -> pa.DataType:
+    if isinstance(kind, T.ArrayType):
+        return pa.list_(_arrow(kind.elementType))
+    return {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "float": pa.float32()}.get(kind.simpleString(), pa.string())
+
+
+def lists(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
+    """The lists of a column as arrays."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if not len(column):
+        return []
+    flat, at = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy() - column.offsets[0].as_py()
+    return [flat[x:y] for x, y in zip(at[:-1], at[1:])]
+
+
 def batches(
     stream: Iterable[pa.RecordBatch], rows: int = 256, chars: int = 2_000_000
 ) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,7 @@ it is worth for that language (its accuracy there in training); the nearest code
 the runner-up is almost as near the text is flagged as ambiguous.
 
 Classifiers are linear in n-gram frequencies, so the margins of a text are sums over its words, and
-each distinct word is looked at once for each task. Training uses a bounded sample, drawn by a hash.
+each distinct word is looked at once for each task. One task trains, on a bounded sample drawn by a hash.
 """
 
 from __future__ import annotations
@@ -17,24 +17,34 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from keelson.llm.common import batches, bounded_sample, held_out, with_text
+from keelson.llm.common import batches, fit_in_task, held_out, lists
 from keelson.session import ship
 
-#: Documents of a language that are learned from at most, buckets of n-grams, lengths of n-grams.
-SAMPLE_PER_LANGUAGE, BUCKETS, NGRAMS = 400, 1 << 13, (1, 2, 3)
+#: Documents that are learned from at most: of a language, of all, and bytes of the latter.
+SAMPLE_PER_LANGUAGE, SAMPLE_ROWS, SAMPLE_BYTES = 400, 4000, 64_000_000
+#: Buckets of n-grams, lengths of n-grams.
+BUCKETS, NGRAMS = 1 << 13, (1, 2, 3)
 #: Classifiers at most, steps and rate of training, decay of the weights.
 MAX_BITS, STEPS, RATE, DECAY = 31, 150, 0.5, 1e-4
 #: Texts whose two nearest codewords have probabilities closer than this are ambiguous.
 AMBIGUITY = 0.2
 UNDETERMINED = "und"
 REMEMBERED_WORDS, LONGEST_REMEMBERED = 150_000, 48
-WORD = re.compile(r"[^\W\d_]+")
+WORD = re.compile(r"[^\W\d_]+")  # letters, and numbers like ½ that aren't digits
+
+
+def words_of(text: str | None) -> list[str]:
+    """Runs of letters in lower case; what else counts as a word character, as ½ and ², divides them."""
+    found = WORD.findall((text or "").lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [run for word in found for run in ("".join(c if c.isalpha() else " " for c in word)).split()]
 
 
 class Ngrams:
@@ -97,15 +107,28 @@ class Model:
 
 def frequencies(texts: list[str | None], ngrams: Ngrams) -> list[np.ndarray]:
     """Buckets of all n-grams of each text."""
-    return [np.array([b for w in WORD.findall((t or "").lower()) for b in ngrams.of(w)], np.int64) for t in texts]
+    return [np.array([b for w in words_of(t) for b in ngrams.of(w)], np.int64) for t in texts]
 
 
-def training_rows(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> pd.DataFrame:
-    """lang and sparse n-gram frequencies of the sampled documents that may be learned from."""
-    seen = docs.where(~held_out("doc_id") & F.col("lang").isNotNull())
-    seen = with_text(seen, "doc_id", F.col("lang").cast("string").alias("lang"))
-    counts = {r["lang"]: r["n"] for r in seen.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    parts = [bounded_sample(seen.where(F.col("lang") == lang), F.col("doc_id"), per_language, n) for lang, n in sorted(counts.items())]
+def training_rows(
+    docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, rows: int = SAMPLE_ROWS, bytes_: int = SAMPLE_BYTES
+) -> DataFrame:
+    """lang and sparse n-gram frequencies of the sampled documents that may be learned from.
+
+    Each language gives at most about ``per_language`` rows, fewer if there are many languages, so that all of
+    them have at most about ``rows`` rows, and ``bytes_`` bytes of text at most for each of those rows' share.
+    """
+    seen = docs.where(~held_out("doc_id") & F.col("lang").isNotNull()).select(
+        F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string")).alias("key"),
+        F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"),
+    )
+    counts = seen.groupBy("lang").agg(F.count("*").alias("_n"), F.sum(F.octet_length("text")).alias("_bytes"))
+    all_langs = F.count("*").over(Window.partitionBy())
+    bound = F.least(F.lit(float(per_language)), rows / all_langs)
+    share = F.least(F.lit(1.0), bound / F.col("_n"), bytes_ / rows * bound / F.greatest("_bytes", F.lit(1)))
+    shares = counts.select("lang", (share * (1 << 30)).cast("long").alias("_share"))
+    place = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), "key"), 34)
+    chosen = seen.join(shares, "lang").where(place < F.col("_share")).select("lang", "text")
     schema = pa.schema([("lang", pa.string()), ("at", pa.list_(pa.int32())), ("share", pa.list_(pa.float32()))])
 
     def features(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,28 +142,26 @@ def training_rows(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> p
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(at, schema.field(1).type), pa.array(share, schema.field(2).type)], schema=schema)
 
     ship(docs.sparkSession)
-    found = []
-    for part in parts:
-        found.append(part.mapInArrow(features, "lang string, at array<int>, share array<float>").toPandas())
-    return pd.concat(found) if found else pd.DataFrame({"lang": [], "at": [], "share": []})
+    return chosen.mapInArrow(features, "lang string, at array<int>, share array<float>")
 
 
-def fit(rows: pd.DataFrame) -> Model:
-    """Trains the classifiers by full-batch logistic regression on square roots of frequencies."""
-    rows = rows[rows["at"].map(len) > 0]
-    langs = sorted(set(rows["lang"]))
+def fit(rows: pa.Table) -> Model:
+    """Trains the classifiers by full-batch logistic regression on frequencies, in an order of the rows' own."""
+    found = sorted((lang, at.tolist(), share.tolist()) for lang, at, share in zip(rows.column("lang").to_pylist(), lists(rows.column("at")), lists(rows.column("share"))) if len(at))
+    labels = np.array([lang for lang, _, _ in found], object)
+    langs = sorted(set(labels))
     code = codewords(len(langs))
-    x = np.zeros((len(rows), BUCKETS), np.float32)
-    for i, (at, share) in enumerate(zip(rows["at"], rows["share"])):
+    of = np.array([langs.index(v) for v in labels], np.int64)
+    x = np.zeros((len(found), BUCKETS), np.float32)
+    for i, (_, at, share) in enumerate(found):
         x[i, at] = share
-    y = code[[langs.index(v) for v in rows["lang"]]] if len(rows) else np.zeros((0, code.shape[1]))
-    scale = np.float32(1 / max(1e-9, np.sqrt((x**2).sum(1).mean()))) if len(rows) else np.float32(1)
+    y = code[of] if len(found) else np.zeros((0, code.shape[1]))
+    scale = np.float32(1 / max(1e-9, np.sqrt((x**2).sum(1).mean()))) if len(found) else np.float32(1)
     x *= scale
     w, b = np.zeros((BUCKETS, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
     m, v = np.zeros_like(w), np.zeros_like(w)
-    counts = np.array([(rows["lang"] == v_).sum() for v_ in langs]) if langs else np.ones(0)
-    balance = np.array([1 / counts[langs.index(v_)] for v_ in rows["lang"]], np.float32)
-    balance = (balance / balance.sum())[:, None] if len(rows) else balance
+    balance = (1 / np.bincount(of, minlength=len(langs))[of]).astype(np.float32) if len(found) else np.zeros(0, np.float32)
+    balance = (balance / max(balance.sum(), 1e-9))[:, None]
     for step in range(1, STEPS + 1 if len(langs) > 1 else 0):
         z = x @ w + b
         g = -y / (1 + np.exp(np.clip(y * z, -30, 30))) * balance
@@ -150,8 +171,8 @@ def fit(rows: pd.DataFrame) -> Model:
         b -= 2 * g.sum(0)
     z = x @ w + b
     worth = np.ones_like(code)
-    for i, lang in enumerate(langs):
-        worth[i] = (z[(rows["lang"] == lang).to_numpy()] * code[i] > 0).mean(0) + 1e-3
+    for i in range(len(langs)):
+        worth[i] = (z[of == i] * code[i] > 0).mean(0) + 1e-3
     worth /= worth.sum(1, keepdims=True) / code.shape[1] if worth.size else 1
     return Model(langs, code, worth, w * scale, b)
 
@@ -181,7 +202,7 @@ class Scorer:
         if len(self._at) > REMEMBERED_WORDS:
             self._at.clear()
             self._sums = np.zeros((1024, self._sums.shape[1]), np.float32)
-        parts = [WORD.findall((t or "").lower()) for t in texts]
+        parts = [words_of(t) for t in texts]
         new = [w for w in set().union(*parts) if w not in self._at]
         if new:
             self._learn(new)
@@ -231,4 +252,4 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 def learn(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     """The model learned from ``docs``: text and lang of rows that aren't held out."""
-    return fit(training_rows(docs, per_language))
+    return fit_in_task(training_rows(docs, per_language), fit)
