@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keelson.llm.common import batches, bounded_sample, held_out, with_text
+from keelson.llm.common import batches, bounded_sample, bounded_texts, fit_in_task, held_out
 from keelson.session import ship
 
-#: Positives and unlabelled documents that are learned from at most.
-POSITIVES, UNLABELLED = 3000, 6000
+#: Positives and unlabelled documents that are learned from at most, and bytes of each.
+POSITIVES, UNLABELLED, SAMPLE_BYTES = 3000, 6000, 64_000_000
 HIDDEN, STEPS, RATE, DECAY = 16, 1200, 1e-2, 1e-5
 #: The same for the classifier that the prior is read from, which must not learn rows by heart.
 PRIOR_STEPS, PRIOR_DECAY = 300, 1e-3
@@ -107,14 +107,14 @@ def _train(p: np.ndarray, u: np.ndarray, gradient, seed: int, steps: int = STEPS
     mean, scale = u.mean(0), u.std(0) + 1e-3
     model = Model(mean, scale, rng.normal(0, 0.3, (p.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 0.3, HIDDEN), 0.0, 1.0)
     xp, xu = model.inputs(p), model.inputs(u)
-    params = [model.w1, model.b1, model.w2, np.zeros(1)]
+    params = [a.astype(np.float32) for a in (model.w1, model.b1, model.w2, np.zeros(1))]
     m, v = [np.zeros_like(a) for a in params], [np.zeros_like(a) for a in params]
-    x = np.concatenate([xp, xu])
+    x = np.concatenate([xp, xu]).astype(np.float32)
     for step in range(1, steps + 1):
         h = np.tanh(x @ params[0] + params[1])
         f = h @ params[2] + params[3]
-        g = np.concatenate(gradient(f[: len(xp)], f[len(xp) :]))
-        back = np.outer(g, params[2]) * (1 - h**2)
+        g = np.concatenate(gradient(f[: len(xp)], f[len(xp) :])).astype(np.float32)
+        back = g[:, None] * params[2] * (1 - h * h)
         slopes = [x.T @ back + decay * params[0], back.sum(0), h.T @ g + decay * params[2], np.array([g.sum()])]
         for i, s in enumerate(slopes):
             m[i], v[i] = 0.9 * m[i] + 0.1 * s, 0.999 * v[i] + 0.001 * s**2
@@ -165,32 +165,42 @@ def fit(p: np.ndarray, u: np.ndarray) -> Model:
     return model
 
 
-def _sampled_features(rows: DataFrame, key: str) -> np.ndarray:
+def _featured(rows: DataFrame, positive: bool) -> DataFrame:
+    """key, x (the features of each row's text) and positive."""
+
     def of(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(stream):
             found = [features(t).tolist() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(found, pa.list_(pa.float64()))], [key, "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(found, pa.list_(pa.float64()))], ["key", "x"])
 
     ship(rows.sparkSession)
-    found = with_text(rows, F.col(key).cast("long").alias(key)).mapInArrow(of, f"{key} long, x array<double>").toPandas()
-    found = found.sort_values(key, kind="stable")["x"]
-    order = np.random.default_rng(0).permutation(len(found))
-    return np.array(found.tolist()).reshape(len(found), FEATURES)[order]
+    return rows.mapInArrow(of, "key long, x array<double>").withColumn("positive", F.lit(int(positive)))
 
 
-def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
+def learn(
+    docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, bytes_: int = SAMPLE_BYTES
+) -> Model:
     """The model learned from rows that aren't held out.
 
     Positives are the documents that ``labels`` (doc_id, quality) marks 1; a document marked more than
-    once is trusted if any mark is 1. Unlabelled are documents of any kind, their marks unread.
+    once is trusted if any mark is 1. Unlabelled are documents of any kind, their marks unread. Both
+    samples are bounded in rows and bytes of text; one task trains on their features.
     """
-    open_ = docs.where(~held_out("doc_id")).select("doc_id", "text")
-    trusted = labels.where((F.col("quality") == 1) & ~held_out("doc_id")).select(F.col("doc_id").alias("doc_id")).distinct()
-    n = trusted.count()
-    chosen = bounded_sample(trusted, F.col("doc_id"), positives, n)
-    p = _sampled_features(open_.join(F.broadcast(chosen), "doc_id", "left_semi"), "doc_id")  # about `positives` ids
-    u = _sampled_features(bounded_sample(open_, F.concat_ws(" ", F.lit("u"), "doc_id"), unlabelled, open_.count()), "doc_id")
-    return fit(p, u)
+    open_ = docs.where(~held_out("doc_id")).select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("text"))
+    row = F.xxhash64(F.col("_id").cast("string"), "text").alias("key")
+    trusted = labels.where((F.col("quality") == 1) & ~held_out("doc_id")).select(F.col("doc_id").alias("_id")).distinct()
+    chosen = bounded_sample(trusted, F.col("_id"), positives, trusted.count())  # about `positives` ids
+    p = open_.join(F.broadcast(chosen), "_id", "left_semi").select(row, "text")
+    n, size = open_.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    u = bounded_sample(open_.select(row, "text"), F.concat_ws(" ", F.lit("u"), "key"), int(unlabelled * min(1, bytes_ / max(size or 0, 1) * max(n, 1) / unlabelled)), n)
+
+    def train(found: pa.Table) -> Model:
+        found = found.sort_by([("key", "ascending")])
+        x, positive = np.array(found.column("x").to_pylist()).reshape(found.num_rows, FEATURES), found.column("positive").to_numpy() == 1
+        parts = [x[positive], x[~positive]]
+        return fit(*[part[np.random.default_rng(0).permutation(len(part))] for part in parts])
+
+    return fit_in_task(_featured(bounded_texts(p, "key", positives, bytes_), True).unionByName(_featured(u, False)), train)
 
 
 SCHEMA = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
