@@ -9,7 +9,7 @@ direction, attention pools the states, and a text is as toxic as its most toxic
 Labels belong to texts, not windows, so training alternates: windows of clean texts are clean, and of a
 toxic text those count as toxic that hold the n-grams most peculiar to toxic texts (at first) or that
 the last round found toxic (later on), at least the most suspicious one. It
-runs on a bounded sample, drawn by a hash, of which a part only sets the scale. When scoring, a word's vector is put through the input
+runs in one task on a bounded sample, drawn by a hash, of which a part only sets the scale. When scoring, a word's vector is put through the input
 weights once for each distinct word.
 """
 
@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keelson.llm.common import batches, bounded_sample, held_out, with_text
+from keelson.llm.common import batches, bounded_sample, bounded_texts, fit_in_task, held_out
 from keelson.session import ship
 
-#: Labelled documents of each kind that are learned from at most.
-TOXIC, CLEAN = 1200, 3000
+#: Labelled documents of each kind that are learned from at most, and bytes of their texts.
+TOXIC, CLEAN, SAMPLE_BYTES = 1200, 3000, 24_000_000
 #: Words of a window and between windows; sizes of word vectors and of each direction's state.
 WINDOW, STRIDE, WIDTH, STATE = 32, 24, 16, 8
 #: Texts that hold a word for it to get its own vector, such words at most, buckets and lengths of n-grams
@@ -286,12 +286,10 @@ class _Trainer:
         self.step = 0
 
     def _words(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        spans = [np.arange(self.starts[w], self.starts[w + 1]) for w in which]
-        grams = self.flat[np.concatenate(spans)]
-        owner = np.repeat(np.arange(len(which)), self.sizes[which])
-        p = self.model.p
-        edges = np.concatenate([[0], np.cumsum(self.sizes[which])[:-1]])
-        e = np.add.reduceat(p["grams"][grams], edges, axis=0) / np.sqrt(self.sizes[which])[:, None] + p["words"][self.own[which]]
+        sizes, p = self.sizes[which], self.model.p
+        owner, edges = np.repeat(np.arange(len(which)), sizes), np.cumsum(sizes) - sizes
+        grams = self.flat[np.arange(len(owner)) + np.repeat(self.starts[which] - edges, sizes)]
+        e = np.add.reduceat(p["grams"][grams], edges, axis=0) / np.sqrt(sizes)[:, None] + p["words"][self.own[which]]
         return e.astype(np.float32), grams, owner
 
     def learn(self, at: np.ndarray, mask: np.ndarray, target: np.ndarray) -> None:
@@ -317,10 +315,16 @@ class _Trainer:
         self.step += 1
         fix = np.sqrt(1 - 0.999**self.step) / (1 - 0.9**self.step)
         for k in p:
-            g = d[k] + DECAY * p[k]
-            self.m[k] = 0.9 * self.m[k] + 0.1 * g
-            self.v[k] = 0.999 * self.v[k] + 0.001 * g**2
-            p[k] -= (RATE * fix * self.m[k] / (np.sqrt(self.v[k]) + 1e-7)).astype(np.float32)
+            g = (d[k] + np.float32(DECAY) * p[k]).astype(np.float32, copy=False)
+            self.m[k] *= np.float32(0.9)
+            self.m[k] += np.float32(0.1) * g
+            g *= g
+            self.v[k] *= np.float32(0.999)
+            self.v[k] += np.float32(0.001) * g
+            np.sqrt(self.v[k], out=g)
+            g += np.float32(1e-7)
+            np.divide(self.m[k], g, out=g)
+            p[k] -= np.float32(RATE * fix) * g
 
     def logits(self) -> np.ndarray:
         p, out = self.model.p, []
@@ -333,8 +337,15 @@ class _Trainer:
 
 def fit(texts: list[str], toxic: np.ndarray, clean_weight: float = 1.0, seed: int = 5) -> Model:
     """Trains on texts and their labels (0 or 1); ``clean_weight`` is what a false alarm counts for."""
-    pool: dict[str, str] = {}  # one object for each distinct word
-    cut = [[pool.setdefault(w, w) for word in words_of(t) for w in pieces_of(word)] for t in texts]
+    pool: dict[str, str] = {}  # one object for each distinct piece of a word
+    of_word: dict[str, list[str]] = {}
+    cut = []
+    for t in texts:
+        words = words_of(t)
+        for word in set(words) - of_word.keys():
+            of_word[word] = [pool.setdefault(w, w) for w in pieces_of(word)]
+        cut.append([w for word in words for w in of_word[word]])
+    del of_word
     kept = [i for i, t in enumerate(cut) if t]
     texts, cut, toxic = [texts[i] for i in kept], [cut[i] for i in kept], np.asarray(toxic)[kept]
     rng = np.random.default_rng(seed)
@@ -417,23 +428,32 @@ def _calibrate(model: Model, top: np.ndarray, toxic: np.ndarray, clean_weight: f
     model.shift = float(np.mean([(edge[i] + edge[i + 1]) / 2 for i in best]))
 
 
-def learn(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLEAN) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLEAN, bytes_: int = SAMPLE_BYTES) -> Model:
     """The model learned from labelled documents (doc_id, toxic) that aren't held out.
 
-    A document marked more than once is toxic if any mark says so; null marks are ignored. The sample
-    of whole texts that reaches the driver is bounded by ``toxic`` and ``clean``. If only one kind is
-    known, nothing can be learned and every score is 0.
+    A document marked more than once is toxic if any mark says so; null marks are ignored. The sample of
+    whole texts is bounded by ``toxic`` and ``clean`` rows and ``bytes_`` bytes of each kind, and one task
+    trains on it. If only one kind is known, nothing can be learned and every score is 0.
     """
     marks = labels.where(F.col("toxic").isin(0, 1) & ~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    chosen = [
-        bounded_sample(marks.where(F.col("toxic") == k), F.col("doc_id"), bound, counts.get(k, 0)) for k, bound in ((1, toxic), (0, clean))
-    ]
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")
-    found = with_text(rows, F.col("doc_id").cast("long").alias("doc_id"), "toxic").toPandas().sort_values(["doc_id", "text"], kind="stable")
-    y = found["toxic"].to_numpy()
-    rare = counts.get(0, 0) / max(1, counts.get(1, 0)) / max(1e-9, (y == 0).sum() / max(1, (y == 1).sum()))
-    return fit(list(found["text"]), y, float(rare))
+    chosen = {k: bounded_sample(marks.where(F.col("toxic") == k), F.col("doc_id"), bound, counts.get(k, 0)) for k, bound in ((1, toxic), (0, clean))}
+    texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("text"))
+
+    def rows(k: int, bound: int) -> DataFrame:
+        known = chosen[k].select(F.col("doc_id").alias("_id"))  # about `bound` ids
+        found = texts.join(F.broadcast(known), "_id", "left_semi").select(F.col("_id").cast("long").alias("doc_id"), "text")
+        return bounded_texts(found, "doc_id", bound, bytes_).withColumn("toxic", F.lit(k).cast("long"))
+
+    total, bad = counts.get(0, 0), max(1, counts.get(1, 0))
+
+    def train(found: pa.Table) -> Model:
+        found = found.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        y = found.column("toxic").to_numpy()
+        rare = total / bad / max(1e-9, (y == 0).sum() / max(1, (y == 1).sum()))
+        return fit(found.column("text").to_pylist(), y, float(rare))
+
+    return fit_in_task(rows(1, toxic).unionByName(rows(0, clean)), train)
 
 
 class Scorer:
