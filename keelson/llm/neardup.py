@@ -3,15 +3,16 @@
 A sketch of a text is taken from its 5-word k-mers, labelled by how often they occurred before in it:
 the ``KEPT`` ones with the least hashes, in the order in which the text has them. Two texts agree on a
 sketch if they share those k-mers in that order, which is the more likely the fewer edits lie between
-them. Sketches are combined into bands; texts that agree on a band share a bucket.
+them. Every sketch is a band; texts that agree on one share a bucket. Short texts, of which a few edits leave
+hardly a k-mer, also have bands of single k-mers.
 
 In a bucket not all pairs are looked at. First every member is compared with the bucket's most central
 one, so a large group of copies becomes one class by as many comparisons as it has members. Then only
 members of different classes are compared: pair by pair in small buckets; in large ones in blocks,
 of which only enough links to connect the members come out. So no candidate is left out or capped.
 
-A link needs at least ``SIMILARITY`` of all 5-word shingles in common, and a banded alignment of the
-words that needs at most 1 - ``SIMILARITY`` of the longer text's words as edits.
+A link is a banded alignment of the words that needs at most 1 - ``SIMILARITY`` of the longer text's
+words as edits. Before it, pairs are let go that can't have one: n edits leave all but 2 n of a text's word pairs.
 """
 
 from __future__ import annotations
@@ -24,14 +25,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from keelson.llm.common import lists
 from keelson.plans.components import components
-from keelson.session import settle, ship
+from keelson.session import discard, settle, ship
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: k-mers of a sketch, sketches of a band, bands. Texts with 0.8 in common miss every band once in 40,000 times.
-KEPT, PER_BAND, BANDS = 2, 2, 20
+#: k-mers of a sketch, sketches (each a band), and k-mers up to which a text has bands of single k-mers too.
+KEPT, BANDS, SHORT = 3, 24, 40
 #: Members of a bucket up to which pairs are joined; members of a block in larger ones.
 SMALL, BLOCK = 12, 384
+#: Ids from here on are given to texts whose least doc_id is also another text's.
+OWN_IDS = 1 << 62
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -43,16 +47,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_SEEDS = mix(np.arange(1, BANDS * PER_BAND + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_SEEDS = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FACTORS = mix(_SEEDS) | np.uint64(1)
 
 
-def shingles(words: np.ndarray) -> np.ndarray:
-    """Hashes of all runs of 5 words; of the whole text, if it is shorter."""
+def shingles(words: np.ndarray, k: int = SHINGLE) -> np.ndarray:
+    """Hashes of all runs of ``k`` words; of the whole text, if it is shorter."""
     w = words.astype(np.int64).view(np.uint64)
-    n = max(1, len(w) - SHINGLE + 1)
+    n = max(1, len(w) - k + 1)
     out = np.zeros(n, np.uint64)
-    for j in range(min(SHINGLE, len(w))):
+    for j in range(min(k, len(w))):
         out = mix(out * np.uint64(31) + w[j : j + n])
     return out
 
@@ -72,10 +76,10 @@ def labelled(grams: np.ndarray) -> np.ndarray:
 
 
 def bands(words: np.ndarray) -> np.ndarray:
-    """The text's key in each band."""
+    """The text's key in each band: ``BANDS`` of sketches, and as many of single k-mers if it is short."""
     grams = labelled(shingles(words))
     n, m = len(grams), len(_SEEDS)
-    keys = np.zeros(m, np.uint64)
+    keys, single = np.zeros(m, np.uint64), np.zeros(m, np.uint64)
     step = max(1, 4_000_000 // n)
     for i in range(0, m, step):
         hashed = (grams[None] ^ _SEEDS[i : i + step, None]) * _FACTORS[i : i + step, None]
@@ -86,20 +90,14 @@ def bands(words: np.ndarray) -> np.ndarray:
             least = hashed.argmin(1)
             places.append(least)
             hashed[rows, least] = np.uint64(0xFFFFFFFFFFFFFFFF)
+        single[i : i + step] = mix(grams[places[0]])
         for place in np.sort(np.stack(places), axis=0):  # in the order of the text
             keys[i : i + step] = mix(keys[i : i + step] * np.uint64(31) + grams[place] + np.uint64(1))
-    out = np.zeros(BANDS, np.uint64)
-    for j in range(PER_BAND):
-        out = mix(out * np.uint64(31) + keys[j * BANDS : (j + 1) * BANDS])
-    return out.view(np.int64)
+    return (np.concatenate([keys, single]) if n <= SHORT else keys).view(np.int64)
 
 
 def edits_within(a: np.ndarray, b: np.ndarray, most: int) -> bool:
-    """Whether at most ``most`` word edits turn ``a`` into ``b``.
-
-    Alignment within a band of diagonals: for each number of edits it keeps how far each diagonal
-    within that number of the main one can be followed, and equal words are followed for free.
-    """
+    """Whether at most ``most`` word edits turn ``a`` into ``b``; equal words at both ends are free."""
     n = min(len(a), len(b))
     differ = np.flatnonzero(a[:n] != b[:n])
     start = int(differ[0]) if differ.size else n
@@ -112,35 +110,41 @@ def edits_within(a: np.ndarray, b: np.ndarray, most: int) -> bool:
         return True
     if abs(len(a) - len(b)) > most:
         return False
-    if (2 * most + 1) * len(a) > 20_000_000:
-        return _row_by_row(a, b, most)
-    goal = len(b) - len(a)
-    nexts: dict[int, np.ndarray] = {}
-
-    def follow(d: int) -> np.ndarray:
-        """For each place in a, the next one from which diagonal ``d`` has unequal words."""
-        if d not in nexts:
-            lo, hi = max(0, -d), min(len(a), len(b) - d)
-            stop = np.arange(len(a) + 1)
-            if hi > lo:
-                unequal = np.where(a[lo:hi] != b[lo + d : hi + d], np.arange(lo, hi), hi)
-                stop[lo:hi] = np.minimum.accumulate(unequal[::-1])[::-1]
-            nexts[d] = stop
-        return nexts[d]
-
-    reach = {0: int(follow(0)[0])}
-    for e in range(most + 1):
-        if reach.get(goal, -1) >= len(a):
+    if not len(a) or not len(b):
+        return max(len(a), len(b)) <= most
+    width = max(32, abs(len(a) - len(b)))
+    while True:  # few edits are found in a narrow band
+        width = min(width, most)
+        aligned = _within_band if (2 * width + 1) * len(a) <= 8_000_000 else _row_by_row
+        if aligned(a, b, width):
+            return True
+        if width == most:
+            return False
+        width *= 4
+
+
+def _within_band(a: np.ndarray, b: np.ndarray, most: int) -> bool:
+    """Alignment within a band of diagonals.
+
+    For each number of edits it keeps how far each diagonal within that number of the main one can be followed;
+    equal words are followed for free, to the next unequal ones on the diagonal, which are looked up.
+    """
+    n, offsets = len(a), np.arange(-most, most + 1)
+    padded = np.full(len(b) + n + 2 * most + 1, np.iinfo(np.int64).min)
+    padded[most : most + len(b)] = b
+    beside = np.lib.stride_tricks.sliding_window_view(padded, n)[: 2 * most + 1]
+    stop = np.full((2 * most + 1, n + 1), n, np.int32)  # for each diagonal and place in a, where words differ next
+    np.copyto(stop[:, :n], np.arange(n, dtype=np.int32), where=beside != a.astype(np.int64))
+    stop = np.minimum.accumulate(stop[:, ::-1], axis=1)[:, ::-1]
+    first, last = np.maximum(0, -offsets), np.minimum(n, len(b) - offsets)
+    rows, never, goal = np.arange(2 * most + 1), np.int64(-2 - most), len(b) - n + most
+    reach = np.full(2 * most + 3, never)  # one place more at both ends
+    reach[most + 1] = stop[most, 0]
+    for edits in range(most + 1):
+        if reach[goal + 1] >= n:
             return True
-        new = {}
-        for d in range(-e - 1, e + 2):
-            best = max(reach.get(d, -2) + 1, reach.get(d - 1, -2), reach.get(d + 1, -2) + 1)
-            if best < 0 or d < -len(a) or d > len(b):
-                continue
-            best = min(best, len(a), len(b) - d)
-            if best >= 0 and best + d >= 0:
-                new[d] = int(follow(d)[best])
-        reach = new
+        new = np.minimum(np.maximum(np.maximum(reach[1:-1] + 1, reach[:-2]), reach[2:] + 1), last)
+        reach[1:-1] = np.where(new >= first, stop[rows, np.maximum(new, 0)], never)
     return False
 
 
@@ -161,21 +165,24 @@ def _row_by_row(a: np.ndarray, b: np.ndarray, most: int) -> bool:
     return bool(row[len(b) - len(a) + most] <= most)
 
 
-def linked(a: np.ndarray, b: np.ndarray, sa: np.ndarray, sb: np.ndarray) -> bool:
-    """Whether two texts (words and distinct sorted shingles) are near duplicates."""
-    if min(len(sa), len(sb)) < SIMILARITY * max(len(sa), len(sb)):
-        return False
-    common = len(np.intersect1d(sa, sb, assume_unique=True))
-    if common < SIMILARITY * (len(sa) + len(sb) - common):
-        return False
-    return edits_within(a, b, int((1 - SIMILARITY) * max(len(a), len(b)) + 1e-9))
+def most_edits(a: int, b: int) -> int:
+    """Edits that texts of ``a`` and ``b`` words may have between them."""
+    return int((1 - SIMILARITY) * max(a, b) + 1e-9)
 
 
-def _lists(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    flat, at = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy() - column.offsets[0].as_py()
-    return [flat[x:y] for x, y in zip(at[:-1], at[1:])]
+def word_pairs(words: np.ndarray) -> np.ndarray:
+    """Sorted hashes of a text's pairs of neighbouring words, told apart by their occurrence."""
+    return np.sort(labelled(shingles(words, 2)))
+
+
+def linked(a: np.ndarray, b: np.ndarray, pa_: np.ndarray, pb: np.ndarray) -> bool:
+    """Whether two texts (words, and their ``word_pairs``) are near duplicates."""
+    most = most_edits(len(a), len(b))
+    if abs(len(a) - len(b)) > most:
+        return False
+    if len(np.intersect1d(pa_, pb, assume_unique=True)) < max(len(a), len(b)) - 1 - 2 * most:
+        return False
+    return edits_within(a, b, most)
 
 
 def words(text: Column) -> Column:
@@ -185,16 +192,17 @@ def words(text: Column) -> Column:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id and its key in each band, for documents with words."""
+    """doc_id, digest (of the text) and keys, the text's key in each band; no keys for texts without words."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            rows = [(i, bands(w)) for i, w in zip(batch.column("doc_id").to_pylist(), _lists(batch.column("w"))) if len(w)]
-            keys = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([k for _, k in rows]) if rows else [], pa.int64()), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), keys.cast(pa.list_(pa.int64()))], ["doc_id", "keys"])
+            found = [bands(w) if len(w) else np.empty(0, np.int64) for w in lists(batch.column("w"))]
+            ends = np.cumsum([0, *map(len, found)])
+            keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found) if found else [], pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), keys], ["doc_id", "digest", "keys"])
 
     ship(docs.sparkSession)
-    return docs.select("doc_id", words(F.col("text")).alias("w")).mapInArrow(run, "doc_id long, keys array<long>")
+    return docs.select("doc_id", "digest", words(F.col("text")).alias("w")).mapInArrow(run, "doc_id long, digest binary, keys array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -202,9 +210,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            good = [
-                linked(x, y, np.unique(shingles(x)), np.unique(shingles(y))) for x, y in zip(_lists(batch.column("wa")), _lists(batch.column("wb")))
-            ]
+            good = [linked(x, y, word_pairs(x), word_pairs(y)) for x, y in zip(lists(batch.column("wa")), lists(batch.column("wb")))]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     left = texts.select(F.col("uid").alias("a"), F.col("w").alias("wa"))
@@ -218,17 +224,17 @@ LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.Lon
 def block_links(asking: pa.Table, offered: pa.Table) -> pa.Table:
     """Links between two blocks of a bucket's members: enough of them to connect all that are linked.
 
-    Shingles in common are counted by a product of both blocks' tables of the shingles they share.
+    Word pairs in common are counted by a product of both blocks' tables of those that they share.
     """
     none = pa.table([pa.array([], pa.int64())] * 2, names=["a", "b"])
     if not asking.num_rows or not offered.num_rows:
         return none
     ia, ib = asking.column("uid").to_numpy(), offered.column("id").to_numpy()
     ca, cb = asking.column("component").to_numpy(), offered.column("group").to_numpy()
-    wa, wb = _lists(asking.column("w")), _lists(offered.column("v"))
-    sa, sb = ([np.unique(shingles(x)) for x in w] for w in (wa, wb))
+    wa, wb = lists(asking.column("w")), lists(offered.column("v"))
+    sa, sb = ([word_pairs(x) for x in w] for w in (wa, wb))
     shared = np.intersect1d(np.concatenate(sa), np.concatenate(sb))
-    na, nb = np.array([len(x) for x in sa]), np.array([len(x) for x in sb])
+    na, nb = (np.array([len(x) for x in w]) for w in (wa, wb))
     common = np.zeros((len(sa), len(sb)), np.float32)
     for i in range(0, len(shared), 4096):
         part = shared[i : i + 4096]
@@ -236,12 +242,14 @@ def block_links(asking: pa.Table, offered: pa.Table) -> pa.Table:
         for sets in (sa, sb):
             table = np.zeros((len(sets), len(part)), np.float32)
             for k, s in enumerate(sets):
+                s = s[np.searchsorted(s, part[0]) : np.searchsorted(s, part[-1], "right")]
                 at = np.searchsorted(part, s)
-                at = at[(at < len(part)) & (part[np.minimum(at, len(part) - 1)] == s)]
-                table[k, at] = 1
+                table[k, at[part[at] == s]] = 1
             tables.append(table)
         common += tables[0] @ tables[1].T
-    near = (common >= SIMILARITY * (na[:, None] + nb[None] - common) - 1e-3) & (ca[:, None] != cb[None])
+    longer = np.maximum(na[:, None], nb[None])
+    most = np.floor((1 - SIMILARITY) * longer + 1e-9)
+    near = (np.abs(na[:, None] - nb[None]) <= most) & (common >= longer - 1 - 2 * most - 1e-3) & (ca[:, None] != cb[None])
     i, j = np.nonzero(near)
     # members of a class stand for it: a link between two classes that are linked already adds nothing
     done: dict[int, int] = {}
@@ -261,49 +269,55 @@ def block_links(asking: pa.Table, offered: pa.Table) -> pa.Table:
     return pa.table([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"]) if found else none
 
 
-def _with_text_id(digested: DataFrame) -> DataFrame:
-    """doc_id and text_id, the least doc_id of the rows with the same ``_text``.
+def _identified(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows (doc_id, digest) with text_id and uid of their text.
 
-    A null text is alone. A text of more than a thousandth of all rows would gather them in one task of a join; there are
+    A text of more than a thousandth of all rows would gather them in one task of a join; there are
     fewer than a thousand of those, so they are broadcast, and the others joined by a shuffle.
     """
-    least = (
-        digested.where(F.col("doc_id").isNotNull() & F.col("_text").isNotNull())
-        .groupBy("_text").agg(F.min("doc_id").alias("text_id"), F.count("*").alias("_copies"))
-    )
-    often = settle(least.where(F.col("_copies") > max(100, digested.count() // 1000)).drop("_copies"), "often")
-    hot = digested.join(F.broadcast(often), "_text").select("doc_id", "text_id")
-    rest = digested.where(F.col("_text").isNotNull()).join(F.broadcast(often.select("_text")), "_text", "left_anti")
-    joined = rest.join(least.drop("_copies"), "_text", "left").select("doc_id", F.coalesce("text_id", "doc_id").alias("text_id"))
-    alone = digested.where(F.col("_text").isNull()).select("doc_id", F.col("doc_id").alias("text_id"))
-    return hot.unionByName(joined).unionByName(alone)
+    ids = texts.select("digest", "text_id", "uid", "copies")
+    often = settle(ids.where(F.col("copies") > max(100, rows.count() // 1000)).drop("copies"), "often")
+    hot = rows.join(F.broadcast(often), "digest")
+    rest = rows.join(F.broadcast(often.select("digest")), "digest", "left_anti").join(ids.drop("copies"), "digest")
+    return hot.unionByName(rest)
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, class_id (the least doc_id of its near duplicates) and text_id.
+    """One row for each row of ``docs``: doc_id, class_id, text_id, digest and leads.
 
-    ``text_id`` is the least doc_id with exactly this text. Documents are near duplicates if links
+    ``class_id`` is the least doc_id of its near duplicates, ``text_id`` the least doc_id with exactly this
+    text, and ``digest`` the MD5 of the text. ``leads`` holds for one text of each class, on the rows with its
+    least doc_id; these are equal in both. Documents are near duplicates if links
     connect them. Texts are compared by their words in lower case; texts of fewer than five words
-    match as a whole; texts without words, empty ones too, only equal ones; null texts match nothing.
-    Rows with equal ids count as one document. Rows without doc_id have null ids and match nothing.
-    An empty table gives no rows, other columns are ignored.
+    match as a whole; texts without words, empty ones too, only equal ones; null texts match nothing and lead.
+    Different texts with one doc_id are documents of their own, compared as any others; where all of a class
+    share their least doc_id with another text, class_id is that of its leading one. Rows without
+    doc_id have null ids, match nothing and lead. An empty table gives no rows, other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    digested = settle(rows.select("doc_id", F.md5(F.col("text").cast("binary")).alias("_text")), "digests")
-    members = settle(_with_text_id(digested), "members")
-    uids = members.select(F.col("text_id").alias("uid")).where("uid IS NOT NULL").distinct()
-
-    sketched = settle(sketches(known), "sketches").join(uids, F.col("doc_id") == F.col("uid"), "left_semi")
-    entries = sketched.select(F.col("doc_id").alias("uid"), F.posexplode("keys").alias("band", "key"))
-    shared = entries.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("uid").alias("_first")).where("n > 1")
+    rows = rows.withColumn("digest", F.unhex(F.md5(F.col("text").cast("binary"))))
+    apart = F.col("doc_id").isNull() | F.col("text").isNull()
+    known = rows.where(~apart)
+    # Distinct texts. Equal ones have equal keys, so any of them will do, and copies are merged before the shuffle.
+    distinct = settle(
+        sketches(known).groupBy("digest").agg(F.min("doc_id").alias("text_id"), F.first("keys").alias("keys"), F.count("*").alias("copies")), "distinct"
+    )
+    shared_ids = distinct.groupBy("text_id").agg(F.min("digest").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    own = F.col("_first").isNotNull() & (F.col("digest") != F.col("_first"))
+    fresh = F.lit(OWN_IDS) + F.shiftrightunsigned(F.xxhash64("digest"), 3)
+    texts = settle(distinct.join(shared_ids, "text_id", "left").withColumn("uid", F.when(own, fresh).otherwise(F.col("text_id"))).drop("_first"), "texts")
+    discard(distinct)
+
+    entries = texts.select("uid", F.posexplode("keys").alias("band", "key"))
+    shared = entries.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
     # buckets of several members, and a member's centrality: with how many others it shares buckets
-    buckets = settle(entries.join(shared, ["band", "key"]).select("band", "key", "uid", "n").distinct(), "buckets")
+    buckets = settle(entries.join(shared, ["band", "key"]).select("band", "key", "uid", "n"), "buckets")
     central = buckets.groupBy("uid").agg(F.sum("n").alias("weight"))
-    texts = settle(
-        known.join(central.select("uid"), F.col("doc_id") == F.col("uid"), "left_semi")
-        .join(members.where("doc_id = text_id").distinct().select("text_id"), F.col("doc_id") == F.col("text_id"), "left_semi")
-        .select(F.col("doc_id").alias("uid"), words(F.col("text")).alias("w"))
+    wanted = texts.select("uid", "text_id", F.col("digest").alias("_digest")).join(central.select("uid"), "uid", "left_semi")
+    hashed = settle(
+        known.join(wanted, F.col("doc_id") == F.col("text_id"))
+        .where(F.col("digest") == F.col("_digest"))
+        .select("uid", words(F.col("text")).alias("w"))
         .dropDuplicates(["uid"]),
         "words",
     )
@@ -312,13 +326,8 @@ def classes(docs: DataFrame) -> DataFrame:
     leaders = weighed.groupBy("band", "key").agg(F.max(order).alias("_lead")).select("band", "key", (-F.col("_lead.col2")).alias("leader"))
     stars = buckets.join(leaders, ["band", "key"]).where("uid <> leader")
     pairs = stars.select(F.least("uid", "leader").alias("a"), F.greatest("uid", "leader").alias("b")).distinct()
-    links = settle(verified(pairs, texts), "links")
-
-    def with_class(found: DataFrame) -> DataFrame:
-        groups = components(found)
-        return groups.withColumnRenamed("node", "_node")
-
-    groups = with_class(links)
+    links = settle(verified(pairs, hashed), "links")
+    groups = components(links).withColumnRenamed("node", "_node")
     placed = settle(
         buckets.join(groups, F.col("uid") == F.col("_node"), "left").select("band", "key", "uid", "n", F.coalesce("component", "uid").alias("component")),
         "placed",
@@ -335,7 +344,7 @@ def classes(docs: DataFrame) -> DataFrame:
     few = rest.where(F.col("n") <= SMALL)
     other = few.select("band", "key", F.col("uid").alias("b"), F.col("component").alias("_other"))
     again = few.select("band", "key", F.col("uid").alias("a"), "component").join(other, ["band", "key"]).where("a < b AND component <> _other")
-    second = verified(again.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), texts)
+    second = verified(again.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), hashed)
 
     many = rest.where(F.col("n") > SMALL).withColumns({"_l": F.ceil(F.col("minors") / BLOCK), "_r": F.ceil(F.col("n") / BLOCK)})
     block = lambda n: F.pmod(F.xxhash64("uid", F.lit("block")), n).cast("int")
@@ -343,14 +352,39 @@ def classes(docs: DataFrame) -> DataFrame:
     by = ["band", "key", "lb", "rb"]
     asking = (
         many.where("component <> major").withColumn("lb", block(F.col("_l"))).withColumn("rb", up_to(F.col("_r")))
-        .join(texts, "uid").select("band", "key", "lb", "rb", "uid", "component", "w")
+        .join(hashed, "uid").select("band", "key", "lb", "rb", "uid", "component", "w")
     )
     offered = (
         many.withColumn("rb", block(F.col("_r"))).withColumn("lb", up_to(F.col("_l")))
-        .join(texts, "uid").select(*[F.col(c).alias(f"{c}_") for c in by], F.col("uid").alias("id"), F.col("component").alias("group"), F.col("w").alias("v"))
+        .join(hashed, "uid").select(*[F.col(c).alias(f"{c}_") for c in by], F.col("uid").alias("id"), F.col("component").alias("group"), F.col("w").alias("v"))
     )
     third = asking.groupBy(*by).cogroup(offered.groupBy(*[f"{c}_" for c in by])).applyInArrow(block_links, LINKS)
-    final = with_class(settle(links.union(second).union(third), "links"))
-    return members.join(final, F.col("text_id") == F.col("_node"), "left").select(
-        "doc_id", F.coalesce("component", "text_id").alias("class_id"), "text_id"
-    )
+    final = components(settle(links.union(second).union(third), "links")).withColumnRenamed("node", "_node")
+    discard(buckets, placed, hashed, links)
+
+    members = _identified(known.select("doc_id", "digest"), texts)
+    members = members.join(final, F.col("uid") == F.col("_node"), "left").withColumn("component", F.coalesce("component", "uid"))
+    # only where a class has none but texts with ids of their own is its name looked up
+    names = texts.where(F.col("uid") >= OWN_IDS).select(F.col("uid").alias("component"), F.col("text_id").alias("_name"))
+    named = members.join(names, "component", "left").select(
+        "doc_id", F.coalesce("_name", "component").alias("class_id"), "text_id", "digest",
+        ((F.col("uid") == F.col("component")) & (F.col("doc_id") == F.col("text_id"))).alias("leads"),
+    )
+    alone = rows.where(apart).select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("text_id"), "digest", F.lit(True).alias("leads"))
+    return named.unionByName(alone)
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each class of near duplicates; rows without doc_id or text stay.
+
+    Of rows that are equal in doc_id and text one stays, whatever their other columns.
+    """
+    kept = classes(docs).where(F.col("leads") & F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
+    kept = settle(kept.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct(), "kept")
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_id"),
+        F.unhex(F.md5(F.col("text").cast("string").cast("binary"))).alias("_digest"),
+    )
+    known = F.col("_id").isNotNull() & F.col("_digest").isNotNull()
+    one = rows.where(known).join(kept, ["_id", "_digest"], "left_semi").dropDuplicates(["_id", "_digest"])
+    return one.unionByName(rows.where(~known)).select("_row.*")

@@ -73,7 +73,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document."""
-    return neardup.classes(table(spark, sf_dir, "documents"))
+    return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "text_id")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
