@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.llm import langid, mixing, neardup, packing, toxicity
@@ -16,29 +16,36 @@ from keelson.llm.queries import tokenizer_path
 from keelson.session import settle, table
 
 
+def _judged(docs: DataFrame, operator: Callable[[DataFrame], DataFrame], kept: Column) -> DataFrame:
+    """Rows of ``docs`` that are ``kept`` by what ``operator`` adds; columns of any name come through unharmed."""
+    names = docs.columns
+    plain = docs.toDF(*[n if n == "text" else f"column {i}" for i, n in enumerate(names)])
+    return operator(plain).where(kept).select(*[F.col(f"`{c}`") for c in plain.columns]).toDF(*names)
+
+
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told apart clearly; texts without letters and ambiguous ones go."""
-    found = langid.identify(docs, langid.learn(docs))
-    return found.where((F.col("lang_pred") != langid.UNDETERMINED) & ~F.col("ambiguous")).select(*docs.columns)
+    model = langid.learn(docs)
+    return _judged(docs, lambda rows: langid.identify(rows, model), (F.col("lang_pred") != langid.UNDETERMINED) & ~F.col("ambiguous"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't toxic, by labels of documents that aren't held out."""
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where(F.col("predicted") == 0).select(*docs.columns)
+    return _judged(docs, lambda rows: toxicity.score(rows, model), F.col("predicted") == 0)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the least doc_id; rows without an id stay."""
-    kept = neardup.classes(docs).where("doc_id = class_id").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.union(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    """One document of each class of near duplicates, as ``neardup.representatives`` chooses it.
+
+    Documents that share a doc_id but not a text are told apart; rows without an id or a text stay.
+    """
+    return neardup.representatives(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix serves, one row for each time."""
-    served = mixing.mix(docs).where("copies > 0")
-    return served.withColumn("time of service", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    return mixing.serve(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
