@@ -98,18 +98,51 @@ def _crc32c_table() -> np.ndarray:
 _CRC32C = _crc32c_table()
 
 
+#: Bytes of the blocks that a value is cut into.
+CRC_BLOCK = 256
+
+
+def _advance(crc: np.ndarray, zeros: int) -> np.ndarray:
+    """States after so many zero bytes."""
+    for _ in range(zeros):
+        crc = _CRC32C[crc & 0xFF] ^ (crc >> 8)
+    return crc
+
+
+#: For each byte of a checksum what it becomes when a block follows; a checksum's four parts are combined by XOR.
+_BEFORE_BLOCK = [_advance((np.arange(256, dtype=np.uint32) << np.uint32(8 * k)).astype(np.uint32), CRC_BLOCK) for k in range(4)]
+
+
 def crc32c_bytes(values: list[bytes]) -> np.ndarray:
-    """CRC-32C of each value; all values advance by one byte at a time, so work is vectorised over rows."""
+    """CRC-32C of each value. Values are cut into blocks, the first one short, and all blocks advance together
+    by a byte at a time; a value's checksum is then put together from its blocks'."""
+    if not values:
+        return np.zeros(0, np.uint32)
     sizes = np.fromiter(map(len, values), np.int64, len(values))
     flat = np.frombuffer(b"".join(values), np.uint8)
     starts = np.cumsum(sizes) - sizes
-    order = np.argsort(-sizes, kind="stable")
-    crc = np.full(len(values), 0xFFFFFFFF, np.uint32)
-    live = np.searchsorted(-sizes[order], -np.arange(sizes.max(initial=0)), side="left")
+    blocks = np.maximum(1, -(-sizes // CRC_BLOCK))
+    first = np.cumsum(blocks) - blocks
+    at = np.arange(blocks.sum()) - np.repeat(first, blocks)  # a block's place in its value
+    short = sizes - (blocks - 1) * CRC_BLOCK
+    begin = np.repeat(starts, blocks) + np.where(at > 0, np.repeat(short, blocks) + (at - 1) * CRC_BLOCK, 0)
+    length = np.where(at > 0, CRC_BLOCK, np.repeat(short, blocks))
+    order = np.argsort(-length, kind="stable")
+    begin, crc = begin[order], np.full(len(order), 0xFFFFFFFF, np.uint32)
+    live = np.searchsorted(-length[order], -np.arange(CRC_BLOCK), side="left")
     for i, n in enumerate(live):
-        at = order[:n]
-        crc[at] = _CRC32C[(crc[at] ^ flat[starts[at] + i]) & 0xFF] ^ (crc[at] >> 8)
-    return crc ^ np.uint32(0xFFFFFFFF)
+        if not n:
+            break
+        crc[:n] = _CRC32C[(crc[:n] ^ flat[begin[:n] + i]) & 0xFF] ^ (crc[:n] >> 8)
+    of_block = np.empty_like(crc)
+    of_block[order] = crc ^ np.uint32(0xFFFFFFFF)
+    out, longest = of_block[first].copy(), np.argsort(-blocks, kind="stable")
+    for i in range(1, int(blocks.max())):
+        rows = longest[: np.searchsorted(-blocks[longest], -i, side="left")]
+        c = out[rows]
+        moved = _BEFORE_BLOCK[0][c & 0xFF] ^ _BEFORE_BLOCK[1][c >> 8 & 0xFF] ^ _BEFORE_BLOCK[2][c >> 16 & 0xFF] ^ _BEFORE_BLOCK[3][c >> 24]
+        out[rows] = moved ^ of_block[first[rows] + i]
+    return out
 
 
 @F.pandas_udf(T.LongType())
@@ -119,29 +152,38 @@ def crc32c(values: pd.Series) -> pd.Series:
     return pd.Series(found).where(values.notna().to_numpy())
 
 
-def murmur3_32(value: bytes, seed: int = 0) -> int:
-    """MurmurHash3 (x86, 32 bits) of bytes, as unsigned."""
-    mask, n = 0xFFFFFFFF, len(value) // 4 * 4
-    h = seed
-
-    def scramble(k: int) -> int:
-        k = k * 0xCC9E2D51 & mask
-        return ((k << 15 | k >> 17) & mask) * 0x1B873593 & mask
-
-    for i in range(0, n, 4):
-        h ^= scramble(int.from_bytes(value[i : i + 4], "little"))
-        h = ((h << 13 | h >> 19) * 5 + 0xE6546B64) & mask
-    h ^= scramble(int.from_bytes(value[n:], "little")) if value[n:] else 0
-    h ^= len(value)
+def murmur3_bytes(values: list[bytes], seed: int = 0) -> np.ndarray:
+    """MurmurHash3 (x86, 32 bits) of each value, as unsigned; all values advance together by four bytes at a time."""
+    sizes = np.fromiter(map(len, values), np.int64, len(values))
+    flat = np.frombuffer(b"".join(values) + bytes(4), np.uint8)
+    starts = np.cumsum(sizes) - sizes
+    h = np.full(len(values), seed, np.uint32)
+    u = np.uint32
+    turn = lambda x, n: x << u(n) | x >> u(32 - n)
+    scramble = lambda k: turn(k * u(0xCC9E2D51), 15) * u(0x1B873593)
+    order = np.argsort(-sizes, kind="stable")
+    word = lambda at: sum(flat[at + j].astype(np.uint32) << u(8 * j) for j in range(4))
+    for i in range(int(sizes.max(initial=0)) // 4):
+        rows = order[: np.searchsorted(-sizes[order], -(4 * i + 4), side="right")]
+        h[rows] = turn(h[rows] ^ scramble(word(starts[rows] + 4 * i)), 13) * u(5) + u(0xE6546B64)
+    rest = sizes % 4
+    rows = np.flatnonzero(rest)
+    tail = np.zeros(len(rows), np.uint32)
+    for j in range(3):
+        some = rest[rows] > j
+        tail[some] |= flat[(starts + sizes - rest)[rows][some] + j].astype(np.uint32) << u(8 * j)
+    h[rows] ^= scramble(tail)
+    h ^= sizes.astype(np.uint32)
     for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
-        h = (h ^ h >> shift) * factor & mask
+        h = (h ^ h >> u(shift)) * u(factor)
     return h
 
 
 @F.pandas_udf(T.LongType())
 def murmur3(values: pd.Series) -> pd.Series:
     """MurmurHash3 with seed 0; Spark's own ``hash`` differs in seed and tail."""
-    return values.map(lambda v: murmur3_32(bytes(v)), na_action="ignore").astype("Int64")
+    found = murmur3_bytes([v if v is not None else b"" for v in values]).astype(np.int64)
+    return pd.Series(found).where(values.notna().to_numpy())
 
 
 def json_type(value: Column) -> Column:

@@ -2,6 +2,7 @@
 
 import zlib
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -111,7 +112,7 @@ def test_queue_redelivers_until_deleted(spark):
 def test_tree_paths(spark):
     e = spark.createDataFrame([(0, "a", 1), (1, "b c", 2)], "parent long, name string, inode long")
     p = spark.createDataFrame([("/a/b%20c",), ("a//b%20c/",), ("/a/x",), ("/",)], "path string")
-    assert {r["path"]: r["inode"] for r in tree.resolve(e, p, 0, 4).collect()} == {"/a/b%20c": 2, "a//b%20c/": 2, "/a/x": None, "/": 0}
+    assert {r["path"]: r["inode"] for r in tree.resolve(e, p, 0).collect()} == {"/a/b%20c": 2, "a//b%20c/": 2, "/a/x": None, "/": 0}
 
 
 def test_documents_paths_and_nulls(spark):
@@ -126,7 +127,7 @@ def test_scalars(spark):
     df = spark.createDataFrame([("123456789",), ("",), (None,)], "t string")
     assert [r[0] for r in df.select(S.crc32c(F.col("t").cast("binary"))).collect()] == [0xE3069283, 0, None]
     assert [r[0] for r in df.select(S.parse_long(F.col("t"))).collect()] == [123456789, 0, None]
-    assert S.murmur3_32(b"hello") == 0x248BFA47 and S.murmur3_32(b"") == 0
+    assert S.murmur3_bytes([b"hello", b"", b"The quick brown fox jumps over the lazy dog"]).tolist() == [0x248BFA47, 0, 0x2E4FF723]
     assert zlib.crc32(b"a") == spark.sql("SELECT crc32('a')").first()[0]
 
 
@@ -181,3 +182,33 @@ def test_prefix_is_pushed_to_parquet(spark, sf, capsys):
     keyvalue.prefix_scan(entries, "Customer#00000001", keys_only=True).explain("formatted")
     out = capsys.readouterr().out
     assert "StringStartsWith(c_name,Customer#00000001)" in out and "ReadSchema: struct<c_name:string>" in out
+
+
+def test_deep_trees(spark):
+    edges = spark.range(300).select(F.col("id").alias("node"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"))
+    found = tree.ancestors(edges)
+    assert found.count() == 300 * 299 // 2 and found.where("node - ancestor <> depth").count() == 0
+    with pytest.raises(ValueError):
+        tree.ancestors(spark.createDataFrame([(1, 2), (2, 1)], "node long, parent long"))
+    assert tree.ancestors(edges.limit(0)).count() == 0
+    entries = edges.where("node < 20").select("parent", F.col("node").alias("inode"), F.lit("d").alias("name"))
+    paths = spark.createDataFrame([("/d" * n,) for n in (1, 8, 9, 19, 20, 25)], "path string")
+    assert {len(r["path"]) // 2: r["inode"] for r in tree.resolve(entries, paths, 0).collect()} == {1: 1, 8: 8, 9: 9, 19: 19, 20: None, 25: None}
+
+
+def test_checksums_against_a_loop(spark):
+    rng = np.random.default_rng(0)
+    values = [rng.bytes(int(n)) for n in (0, 1, 255, 256, 257, 511, 512, 513, 3000, 0, 5)]
+
+    def slow(value):
+        crc = 0xFFFFFFFF
+        for byte in value:
+            crc ^= byte
+            for _ in range(8):
+                crc = crc >> 1 ^ (0x82F63B78 if crc & 1 else 0)
+        return crc ^ 0xFFFFFFFF
+
+    assert S.crc32c_bytes(values).tolist() == [slow(v) for v in values] and S.crc32c_bytes([b"123456789"])[0] == 0xE3069283
+    got = spark.createDataFrame([(v,) for v in values] + [(None,)], "v binary").select(S.crc32c("v").alias("c"), S.murmur3("v").alias("m")).collect()
+    assert [r["c"] for r in got] == [slow(v) for v in values] + [None] and got[-1]["m"] is None
+    assert [r["m"] for r in got[:-1]] == S.murmur3_bytes(values).tolist()
