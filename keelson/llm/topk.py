@@ -21,6 +21,8 @@ from keelson.session import ship
 
 #: Rows of a block of queries and of candidates, and the first depth of a walk, which doubles.
 QUERY_BLOCK, CANDIDATE_BLOCK, DEPTH = 1024, 4096, 32
+#: 64-bit integers.
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
 def walk(lists: np.ndarray, rows: np.ndarray, ids: np.ndarray, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -42,6 +44,8 @@ def walk(lists: np.ndarray, rows: np.ndarray, ids: np.ndarray, q: np.ndarray, ow
         seen[part.ravel()] = True
         met = np.flatnonzero(seen & ~before)
         scores = rows[met] @ q
+        if q.dtype == object:
+            scores = np.minimum(np.maximum(scores, LEAST), MOST)
         found = ids[met]
         if (other := found != own).sum() < len(found):
             scores, found = scores[other], found[other]
@@ -88,12 +92,13 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64) ->
     Score: inner product of the integer vectors; ties go to the smaller vec_id. Queries with fewer than
     ``k`` candidates get all of them. Vectors null or holding null, NaN or infinite components, and rows
     without vec_id, take no part. Shorter vectors count as padded with zeros. Repeated candidate rows
-    each count; a repeated query row gives the same result once. An empty table gives no rows.
+    each count; of query rows with one vec_id the one with the least integer vector asks. Integers and scores beyond
+    64 bits are cut to the nearest 64-bit integer, and then ties go to the smaller vec_id. An empty table gives no rows.
     """
     ints = vectors.where(F.col("vec_id").isNotNull() & valid(F.col("embedding"))).select(
         F.col("vec_id").cast("long").alias("vec_id"), integers(F.col("embedding"), scale).alias("v"), queries.alias("_asks")
     )
-    asked = ints.where("_asks").drop("_asks").dropDuplicates(["vec_id"])
+    asked = ints.where("_asks").groupBy("vec_id").agg(F.min("v").alias("v"))
     row = ints.agg(F.count("*").alias("n"), F.count_if("_asks").alias("q")).first()
     candidate_blocks, query_blocks = blocks_for(row["n"], CANDIDATE_BLOCK), blocks_for(row["q"], QUERY_BLOCK)
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -108,7 +113,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64) ->
             dims = max(q.shape[1], c.shape[1])
             q, c = (np.pad(x, ((0, 0), (0, dims - x.shape[1]))) for x in (q, c))
             # the least exact type: sums stay below 2^24 or 2^53, or else are integers of any size
-            most = dims * int(np.abs(q).max(initial=0)) * int(np.abs(c).max(initial=0))
+            far = lambda x: max(-int(x.min(initial=0)), int(x.max(initial=0)))
+            most = dims * far(q) * far(c)
             q, c = (x.astype(np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else object) for x in (q, c))
             ids = offered.column("id").to_numpy()
             lists = np.argsort(c, axis=0, kind="stable").astype(np.int32)
