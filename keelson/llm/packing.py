@@ -6,8 +6,8 @@ longer than a sequence are cut. Pieces are packed into as few sequences as possi
 1. The corpus is reduced to a histogram: how many pieces have each length. It has at most
    ``capacity`` entries however large the corpus is, so the packing is planned on it.
 2. From the longest length down, the gap it leaves is looked up among the single lengths, then the
-   sums of pairs, then of triples; a combination that fills the gap exactly is consumed as often as
-   the counts allow.
+   sums of pairs, then of triples, which are indexed; a combination that fills the gap exactly is consumed as
+   often as the counts allow, and the index is made anew when a length has run out.
 3. What is left is packed best-fit: each length into the sequences with the least sufficient gap.
 
 The plan is a short list of patterns with a multiplicity. Pieces are ranked within their length by
@@ -156,6 +156,17 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, li
         left[at] -= times * need[at]
         patterns.append((times, lengths))
 
+    # Which sums pairs and triples of available lengths have; lengths only run out, so what is missing stays missing.
+    index: dict[str, np.ndarray] = {}
+
+    def sums() -> tuple[np.ndarray, np.ndarray]:
+        has = left > 0
+        if "has" not in index or not np.array_equal(has, index["has"]):
+            spectrum = np.fft.rfft(has, 4 * capacity)
+            pairs, triples = (np.fft.irfft(spectrum**k)[: capacity + 1] > 0.5 for k in (2, 3))
+            index.update(has=has, pairs=pairs, triples=triples)
+        return index["pairs"], index["triples"]
+
     def single(gap: int) -> list[int] | None:
         return [gap] if left[gap] else None
 
@@ -166,14 +177,17 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, li
         return [gap - int(low[fits[0]]), int(low[fits[0]])] if fits.size else None
 
     def triple(gap: int) -> list[int] | None:
-        """Three lengths with this sum, by looking the rest of each length up among the pairs."""
-        for third in range(gap - 2, 0, -1):
-            if left[third]:
-                left[third] -= 1
-                rest = pair(gap - third)
-                left[third] += 1
-                if rest:
-                    return [third, *rest]
+        """Three lengths with this sum: the longest one whose rest is among the sums of pairs."""
+        pairs, triples = sums()
+        if not triples[gap]:
+            return None
+        thirds = np.arange(1, gap - 1)
+        for third in thirds[(left[thirds] > 0) & pairs[gap - thirds]][::-1].tolist():
+            left[third] -= 1
+            rest = pair(gap - third)  # the index knows nothing of counts
+            left[third] += 1
+            if rest:
+                return [third, *rest]
         return None
 
     for length in range(capacity, 0, -1):
