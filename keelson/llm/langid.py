@@ -26,8 +26,8 @@ from pyspark.sql.window import Window
 from keelson.llm.common import batches, fit_in_task, held_out, lists
 from keelson.session import ship
 
-#: Documents that are learned from at most: of a language, of all, and bytes of the latter.
-SAMPLE_PER_LANGUAGE, SAMPLE_ROWS, SAMPLE_BYTES = 400, 4000, 64_000_000
+#: Documents that are learned from at most: of a language, of all, and bytes of the latter; languages at most.
+SAMPLE_PER_LANGUAGE, SAMPLE_ROWS, SAMPLE_BYTES, LANGUAGES = 400, 4000, 64_000_000, 500
 #: Buckets of n-grams, lengths of n-grams.
 BUCKETS, NGRAMS = 1 << 13, (1, 2, 3)
 #: Classifiers at most, steps and rate of training, decay of the weights.
@@ -115,20 +115,20 @@ def training_rows(
 ) -> DataFrame:
     """lang and sparse n-gram frequencies of the sampled documents that may be learned from.
 
-    Each language gives at most about ``per_language`` rows, fewer if there are many languages, so that all of
+    The ``LANGUAGES`` with most documents are learned. Each language gives at most about ``per_language`` rows, fewer if there are many languages, so that all of
     them have at most about ``rows`` rows, and ``bytes_`` bytes of text at most for each of those rows' share.
     """
     seen = docs.where(~held_out("doc_id") & F.col("lang").isNotNull()).select(
         F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string")).alias("key"),
         F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"),
     )
-    counts = seen.groupBy("lang").agg(F.count("*").alias("_n"), F.sum(F.octet_length("text")).alias("_bytes"))
+    counts = seen.groupBy("lang").agg(F.count("*").alias("_n"), F.sum(F.octet_length("text")).alias("_bytes")).orderBy(F.col("_n").desc(), "lang").limit(LANGUAGES)
     all_langs = F.count("*").over(Window.partitionBy())
     bound = F.least(F.lit(float(per_language)), rows / all_langs)
     share = F.least(F.lit(1.0), bound / F.col("_n"), bytes_ / rows * bound / F.greatest("_bytes", F.lit(1)))
     shares = counts.select("lang", (share * (1 << 30)).cast("long").alias("_share"))
     place = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), "key"), 34)
-    chosen = seen.join(shares, "lang").where(place < F.col("_share")).select("lang", "text")
+    chosen = seen.join(F.broadcast(shares), "lang").where(place < F.col("_share")).select("lang", "text")
     schema = pa.schema([("lang", pa.string()), ("at", pa.list_(pa.int32())), ("share", pa.list_(pa.float32()))])
 
     def features(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +147,8 @@ def training_rows(
 
 def fit(rows: pa.Table) -> Model:
     """Trains the classifiers by full-batch logistic regression on frequencies, in an order of the rows' own."""
-    found = sorted((lang, at.tolist(), share.tolist()) for lang, at, share in zip(rows.column("lang").to_pylist(), lists(rows.column("at")), lists(rows.column("share"))) if len(at))
+    found = [r for r in zip(rows.column("lang").to_pylist(), lists(rows.column("at")), lists(rows.column("share"))) if len(r[1])]
+    found.sort(key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))
     labels = np.array([lang for lang, _, _ in found], object)
     langs = sorted(set(labels))
     code = codewords(len(langs))
