@@ -278,7 +278,10 @@ class _Trainer:
         self.all = sorted(set().union(*map(set, windows)))
         index = {w: i for i, w in enumerate(self.all)}
         self.at, self.mask = table_of(windows, index)
-        self.flat, self.sizes = grams_of(self.all)
+        parts = [grams_of(self.all[i : i + 10_000]) for i in range(0, len(self.all), 10_000)]
+        self.flat = np.concatenate([grams.astype(np.uint16) for grams, _ in parts])  # buckets are fewer than 2^16
+        self.sizes = np.concatenate([sizes for _, sizes in parts])
+        del parts
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
         self.own = np.array([model.vocabulary.get(w, 0) for w in self.all])
         self.m = {k: np.zeros_like(v) for k, v in model.p.items()}
@@ -342,7 +345,7 @@ def fit(texts: list[str], toxic: np.ndarray, clean_weight: float = 1.0, seed: in
     cut = []
     for t in texts:
         words = words_of(t)
-        for word in set(words) - of_word.keys():
+        for word in [w for w in set(words) if w not in of_word]:
             of_word[word] = [pool.setdefault(w, w) for w in pieces_of(word)]
         cut.append([w for word in words for w in of_word[word]])
     del of_word
@@ -397,8 +400,16 @@ def _peculiarity(texts: list[list[list[str]]], toxic: np.ndarray) -> list[np.nda
     """For each window's words the greatest log odds of their n-grams to be of a toxic text, by texts that hold them."""
     vocabulary = sorted(set().union(*(w for t in texts for w in t)))
     number = {w: i for i, w in enumerate(vocabulary)}
-    grams, sizes = grams_of(vocabulary, None)
-    _, code = np.unique(grams, return_inverse=True)
+    blocks = [vocabulary[i : i + 10_000] for i in range(0, len(vocabulary), 10_000)]
+    distinct = np.empty(0, np.uint64)
+    for block in blocks:
+        distinct = np.union1d(distinct, grams_of(block, None)[0])
+    found = []
+    for block in blocks:  # codes of four bytes, block by block
+        grams, sizes = grams_of(block, None)
+        found.append((np.searchsorted(distinct, grams).astype(np.int32), sizes))
+    code, sizes = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    del found, distinct
     starts = np.cumsum(sizes) - sizes
     held = np.zeros((2, code.max() + 1))
     for t, y in zip(texts, toxic):
