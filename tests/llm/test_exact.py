@@ -261,6 +261,16 @@ def test_topk(spark, monkeypatch, blocks):
     assert topk.top_k(df.where("vec_id = 5"), F.lit(True)).count() == 0
 
 
+def test_topk_of_repeated_ids_and_huge_scores(spark):
+    rows = [(0, [3.0, 1.0]), (0, [1.0, 2.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = topk.top_k(df, F.col("vec_id") == 0, k=5).collect()
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in out] == [(1, 2, 64 * 128), (2, 1, 64 * 64)]  # (1, 2) asks
+    huge = spark.createDataFrame([(i, [s * 1e9] * 6) for i, s in enumerate((1, 1, 2, -1, -3))], df.schema)
+    out = topk.top_k(huge, F.col("vec_id") == 0, k=5).collect()
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in out] == [(1, 1, 2**63 - 1), (2, 2, 2**63 - 1), (3, 3, -(2**63)), (4, 4, -(2**63))]
+
+
 def test_walk_ends_early():
     rng = np.random.default_rng(0)
     rows = (rng.normal(size=(4000, 4)) * 64).astype(np.float32)

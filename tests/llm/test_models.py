@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keelson.llm import langid, quality, queries, toxicity
-from keelson.llm.common import held_out
+from keelson.llm.common import bounded_texts, held_out
 
 SF = "/root/testdata/sf0.01"
 ODD = [
@@ -59,6 +59,26 @@ def test_languages(spark, docs):
     assert (out.lang_pred == out.lang).mean() > 0.98 and out.score.between(0, 1).all()
 
 
+def test_letters_and_margins_by_hand(spark, docs):
+    assert langid.words_of("½ ²③ 12_a Éa½b") == ["a", "éa", "b"] and langid.words_of("½ ² ③") == []
+    model = langid.learn(docs, 40)
+    texts = [r["text"] for r in docs.orderBy("doc_id").limit(20).collect()]
+    margins, n = langid.Scorer(model).margins(texts)
+    for text, margin, size in zip(texts, margins, n):
+        grams = langid.frequencies([text], langid.Ngrams())[0]
+        assert size == len(grams) and np.allclose(margin, model.weights[grams].sum(0) / max(1, size) + model.bias, atol=1e-3)
+        far = [sum(w * np.log1p(np.exp(-c * m)) for w, c, m in zip(model.worth[i], model.code[i], margin)) for i in range(len(model.langs))]
+        assert model.decode(margin[None])[0].argmax() == int(np.argmin(far))
+
+
+def test_samples_are_bounded_in_rows_and_bytes(spark):
+    df = spark.range(2000).selectExpr("id % 2 AS doc_id", "repeat('x', 1000) || id AS text")
+    assert bounded_texts(df, "doc_id", 10**6, 10**9).count() == 2000
+    for rows, bytes_ in ((200, 10**9), (10**6, 200_000)):
+        assert 120 < bounded_texts(df, "doc_id", rows, bytes_).count() < 280
+    assert bounded_texts(df.union(df), "doc_id", 10**6, 10**9).count() == 2000
+
+
 def test_languages_of_odd_rows(spark, docs):
     model = langid.learn(docs, 60)
     out = langid.identify(spark.createDataFrame(ODD, SCHEMA), model)
@@ -80,6 +100,19 @@ def test_quality(spark, labels):
     assert out[out.quality == 1].predicted.mean() > 0.97
 
 
+def test_bad_text_is_rejected(spark):
+    """Given labels enough; and scores are those of the network worked out by hand."""
+    sf = "/root/testdata/sf0.1"
+    table, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.learn(table, labels, 1500, 3000)
+    rows = quality.score(table.join(labels.where(held_out("doc_id")), "doc_id"), model).select("text", "quality", "score", "predicted").toPandas()
+    assert rows[rows.quality == 0].predicted.mean() < 0.05 and rows[rows.quality == 1].predicted.mean() > 0.97
+    for _, r in rows.head(20).iterrows():
+        h = [np.tanh(sum(x * w for x, w in zip(model.inputs(quality.features(r.text)), column)) + b) for column, b in zip(model.w1.T, model.b1)]
+        want = 1 / (1 + np.exp(-(sum(a * b for a, b in zip(h, model.w2)) + model.b2)))
+        assert abs(r.score - want) < 1e-5 and r.predicted == int(r.score >= 0.3)
+
+
 def test_prior():
     rng = np.random.default_rng(0)
     n = quality.FEATURES
