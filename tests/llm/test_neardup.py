@@ -108,6 +108,20 @@ def test_alignment_of_long_texts():
     assert not neardup.linked(a, a[: n // 2], neardup.word_pairs(a), neardup.word_pairs(a[: n // 2]))
 
 
+def test_anchors_never_understate_edits():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        a = rng.integers(0, 6, int(rng.integers(1, 60)))
+        b = a.copy()
+        for _ in range(int(rng.integers(0, 6))):
+            at = int(rng.integers(0, len(b) + 1))
+            b = np.insert(b, at, rng.integers(0, 6)) if rng.random() < 0.5 or len(b) < 2 else np.delete(b, at % len(b))
+        assert neardup.anchored_edits(a, b, len(a)) >= distance(list(a), list(b))
+    a = rng.integers(0, 10**6, 20_000)
+    b = np.where(rng.random(20_000) < 0.04, -1, a)
+    assert (a != b).sum() <= neardup.anchored_edits(a, b, 4000) <= 1.3 * (a != b).sum()
+
+
 def test_the_filter_never_parts_a_link():
     rng = np.random.default_rng(4)
     for _ in range(300):
