@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import pickle
 from collections.abc import Callable, Iterable, Iterator
 
@@ -60,7 +61,11 @@ def fit_in_task(rows: DataFrame, fit: Callable[[pa.Table], object]) -> object:
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = list(stream)
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(pa.Table.from_batches(found)))], pa.binary())], ["model"])
+            model = pickle.dumps(fit(pa.Table.from_batches(found)))
+            del found  # the process serves further tasks
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
 
     ship(rows.sparkSession)
     got = rows.repartition(1).mapInArrow(run, "model binary").collect()

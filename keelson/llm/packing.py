@@ -33,7 +33,7 @@ from keelson.plans.ranking import bits_for, hash_bucket, hash_order, running_tot
 from keelson.session import settle, ship
 
 #: Tokens of a sequence, the id that ends a document, and words whose ids a task remembers.
-CAPACITY, SEPARATOR, REMEMBERED_WORDS = 2048, 0, 300_000
+CAPACITY, SEPARATOR, REMEMBERED_WORDS = 2048, 0, 200_000
 #: Ranks of one block in the join that finds a piece's pattern.
 RANK_BLOCK = 1024
 
@@ -129,7 +129,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
 
     def cut(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(tokenizer_path)
-        for batch in batches(stream, rows=4096, chars=6_000_000):
+        for batch in batches(stream, rows=1024, chars=1_500_000):
             rows = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), words.encode(batch.column("text"))):
                 ids += end
