@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import pickle
 from collections.abc import Callable, Iterable, Iterator
@@ -55,6 +56,25 @@ def bounded_texts(df: DataFrame, key: str, rows: int, bytes_: int) -> DataFrame:
     return df.where(place < int(share * (1 << 30))).dropDuplicates([key, "text"])
 
 
+def free_memory() -> None:
+    """Gives what this process no longer uses back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, freeing its memory at the end: a Python process serves one task after another, of other operators too."""
+
+    def tidied(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(stream)
+        free_memory()
+
+    return tidied
+
+
 def fit_in_task(rows: DataFrame, fit: Callable[[pa.Table], object]) -> object:
     """What ``fit`` makes of a bounded table, worked out by one task; only the result comes to the driver."""
 
@@ -62,13 +82,10 @@ def fit_in_task(rows: DataFrame, fit: Callable[[pa.Table], object]) -> object:
         found = list(stream)
         if found:
             model = pickle.dumps(fit(pa.Table.from_batches(found)))
-            del found  # the process serves further tasks
-            gc.collect()
-            pa.default_memory_pool().release_unused()
             yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
 
     ship(rows.sparkSession)
-    got = rows.repartition(1).mapInArrow(run, "model binary").collect()
+    got = rows.repartition(1).mapInArrow(tidy(run), "model binary").collect()
     if got:
         return pickle.loads(got[0]["model"])
     empty = pa.table({name: pa.array([], kind) for name, kind in ((f.name, _arrow(f.dataType)) for f in rows.schema.fields)})

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from keelson.llm.common import batches, fit_in_task, held_out, lists
+from keelson.llm.common import batches, fit_in_task, held_out, lists, tidy
 from keelson.session import ship
 
 #: Documents that are learned from at most: of a language, of all, and bytes of the latter; languages at most.
@@ -142,7 +142,7 @@ def training_rows(
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(at, schema.field(1).type), pa.array(share, schema.field(2).type)], schema=schema)
 
     ship(docs.sparkSession)
-    return chosen.mapInArrow(features, "lang string, at array<int>, share array<float>")
+    return chosen.mapInArrow(tidy(features), "lang string, at array<int>, share array<float>")
 
 
 def fit(rows: pa.Table) -> Model:
@@ -156,8 +156,9 @@ def fit(rows: pa.Table) -> Model:
     x = np.zeros((len(found), BUCKETS), np.float32)
     for i, (_, at, share) in enumerate(found):
         x[i, at] = share
+    size = np.mean([np.dot(share, share) for _, _, share in found]) if found else 0.0
     y = code[of] if len(found) else np.zeros((0, code.shape[1]))
-    scale = np.float32(1 / max(1e-9, np.sqrt((x**2).sum(1).mean()))) if len(found) else np.float32(1)
+    scale = np.float32(1 / max(1e-9, np.sqrt(size))) if len(found) else np.float32(1)
     x *= scale
     w, b = np.zeros((BUCKETS, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
     m, v = np.zeros_like(w), np.zeros_like(w)
@@ -248,7 +249,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *SCHEMA.names])
 
     ship(kept.sparkSession)
-    return kept.mapInArrow(predict, out)
+    return kept.mapInArrow(tidy(predict), out)
 
 
 def learn(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keelson.llm.common import lists
+from keelson.llm.common import lists, tidy
 from keelson.plans.components import components
 from keelson.session import discard, settle, ship
 
@@ -236,7 +236,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), keys], ["doc_id", "digest", "keys"])
 
     ship(docs.sparkSession)
-    return docs.select("doc_id", "digest", words(F.col("text")).alias("w")).mapInArrow(run, "doc_id long, digest binary, keys array<long>")
+    return docs.select("doc_id", "digest", words(F.col("text")).alias("w")).mapInArrow(tidy(run), "doc_id long, digest binary, keys array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -249,7 +249,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     left = texts.select(F.col("uid").alias("a"), F.col("w").alias("wa"))
     right = texts.select(F.col("uid").alias("b"), F.col("w").alias("wb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "wa", "wb").mapInArrow(tidy(run), "a long, b long")
 
 
 LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])

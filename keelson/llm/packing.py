@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keelson.llm.common import batches, with_text
+from keelson.llm.common import batches, tidy, with_text
 from keelson.plans.ranking import bits_for, hash_bucket, hash_order, running_total
 from keelson.session import settle, ship
 
@@ -139,7 +139,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     ship(docs.sparkSession)
-    return with_text(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(cut, PIECES)
+    return with_text(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(tidy(cut), PIECES)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:

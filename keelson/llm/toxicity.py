@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keelson.llm.common import batches, bounded_sample, bounded_texts, fit_in_task, held_out
+from keelson.llm.common import batches, bounded_sample, bounded_texts, fit_in_task, held_out, tidy
 from keelson.session import ship
 
 #: Labelled documents of each kind that are learned from at most, and bytes of their texts.
@@ -544,4 +544,4 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *SCHEMA.names])
 
     ship(kept.sparkSession)
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *SCHEMA.fields]))
+    return kept.mapInArrow(tidy(run), T.StructType([*kept.schema.fields, *SCHEMA.fields]))
