@@ -368,11 +368,12 @@ def classes(docs: DataFrame) -> DataFrame:
     )
     # the class with most of a bucket's members, and the others
     sizes = placed.groupBy("band", "key", "component").agg(F.count("*").alias("c"))
-    mixed = (
+    mixed = settle(
         sizes.groupBy("band", "key")
         .agg(F.count("*").alias("classes"), F.sum("c").alias("n"), F.max(F.struct("c", "component")).alias("_most"))
         .where("classes > 1")
-        .select("band", "key", "n", F.col("_most.component").alias("major"), (F.col("n") - F.col("_most.c")).alias("minors"))
+        .select("band", "key", "n", F.col("_most.component").alias("major"), (F.col("n") - F.col("_most.c")).alias("minors")),
+        "mixed",
     )
     rest = placed.drop("n").join(mixed, ["band", "key"])
     few = rest.where(F.col("n") <= SMALL)
@@ -392,9 +393,13 @@ def classes(docs: DataFrame) -> DataFrame:
         many.withColumn("rb", block(F.col("_r"))).withColumn("lb", up_to(F.col("_l")))
         .join(hashed, "uid").select(*[F.col(c).alias(f"{c}_") for c in by], F.col("uid").alias("id"), F.col("component").alias("group"), F.col("w").alias("v"))
     )
+    # a pair of blocks is little data and much work, so tasks are dealt by the number of pairs, not merged by size
+    pairs_of_blocks = mixed.where(F.col("n") > SMALL).agg(F.sum(F.ceil(F.col("minors") / BLOCK) * F.ceil(F.col("n") / BLOCK))).first()[0] or 0
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(pairs_of_blocks) // 8)
+    asking, offered = asking.repartition(tasks, *by), offered.repartition(tasks, *[f"{c}_" for c in by])
     third = asking.groupBy(*by).cogroup(offered.groupBy(*[f"{c}_" for c in by])).applyInArrow(block_links, LINKS)
     final = components(settle(links.union(second).union(third), "links")).withColumnRenamed("node", "_node")
-    discard(buckets, placed, hashed, links)
+    discard(buckets, placed, mixed, hashed, links)
 
     members = _identified(known.select("doc_id", "digest"), texts)
     members = members.join(final, F.col("uid") == F.col("_node"), "left").withColumn("component", F.coalesce("component", "uid"))
