@@ -35,6 +35,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 KEPT, BANDS, SHORT = 3, 24, 40
 #: Members of a bucket up to which pairs are joined; members of a block in larger ones.
 SMALL, BLOCK = 12, 384
+#: Pairs of members with a word pair from which on they are counted by a product of tables; pairs counted at once one by one.
+DENSE, EXPANDED = 1024, 2_000_000
 #: Ids from here on are given to texts whose least doc_id is also another text's.
 OWN_IDS = 1 << 62
 
@@ -252,13 +254,51 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "wa", "wb").mapInArrow(tidy(run), "a long, b long")
 
 
+def in_common(sa: list[np.ndarray], sb: list[np.ndarray]) -> np.ndarray:
+    """How many values each of ``sa`` has in common with each of ``sb``; every one holds distinct values.
+
+    A value of many members on both sides is a column of two tables, whose product counts; of the others, mostly
+    of a member or two, each pair of members is counted by itself.
+    """
+    sides = []
+    for sets in (sa, sb):
+        value, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        order = np.argsort(value, kind="stable")
+        sides.append((*np.unique(value[order], return_index=True, return_counts=True), owner[order]))
+    (va, fa, ca, oa), (vb, fb, cb, ob) = sides
+    _, x, y = np.intersect1d(va, vb, assume_unique=True, return_indices=True)
+    fa, ca, fb, cb = fa[x], ca[x], fb[y], cb[y]
+    common = np.zeros(len(sa) * len(sb), np.int64)
+    many = ca * cb > DENSE
+    ends = np.cumsum(np.where(many, 0, ca * cb))
+    parts = np.searchsorted(ends, np.arange(0, ends[-1] if len(ends) else 0, EXPANDED), "right")
+    for lo, hi in zip(parts, [*parts[1:], len(ends)]):
+        few = lo + np.flatnonzero(~many[lo:hi])
+        n = ca[few] * cb[few]
+        k = np.repeat(few, n)  # one row for each pair of members that have this value
+        at = np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)
+        common += np.bincount(oa[fa[k] + at // cb[k]] * len(sb) + ob[fb[k] + at % cb[k]], minlength=len(common))
+    common, dense = common.reshape(len(sa), len(sb)), np.flatnonzero(many)
+    for i in range(0, len(dense), 4096):
+        part = dense[i : i + 4096]
+        tables = []
+        for first, count, owner, size in ((fa, ca, oa, len(sa)), (fb, cb, ob, len(sb))):
+            n = count[part]
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            table = np.zeros((size, len(part)), np.float32)
+            table[owner[np.repeat(first[part], n) + at], np.repeat(np.arange(len(part)), n)] = 1
+            tables.append(table)
+        common += (tables[0] @ tables[1].T).astype(np.int64)
+    return common
+
+
 LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
 def block_links(asking: pa.Table, offered: pa.Table) -> pa.Table:
     """Links between two blocks of a bucket's members: enough of them to connect all that are linked.
 
-    Word pairs in common are counted by a product of both blocks' tables of those that they share.
+    The word pairs that any two have in common are counted first, and only where they suffice is a pair aligned.
     """
     none = pa.table([pa.array([], pa.int64())] * 2, names=["a", "b"])
     if not asking.num_rows or not offered.num_rows:
@@ -267,23 +307,11 @@ def block_links(asking: pa.Table, offered: pa.Table) -> pa.Table:
     ca, cb = asking.column("component").to_numpy(), offered.column("group").to_numpy()
     wa, wb = lists(asking.column("w")), lists(offered.column("v"))
     sa, sb = ([word_pairs(x) for x in w] for w in (wa, wb))
-    shared = np.intersect1d(np.concatenate(sa), np.concatenate(sb))
     na, nb = (np.array([len(x) for x in w]) for w in (wa, wb))
-    common = np.zeros((len(sa), len(sb)), np.float32)
-    for i in range(0, len(shared), 4096):
-        part = shared[i : i + 4096]
-        tables = []
-        for sets in (sa, sb):
-            table = np.zeros((len(sets), len(part)), np.float32)
-            for k, s in enumerate(sets):
-                s = s[np.searchsorted(s, part[0]) : np.searchsorted(s, part[-1], "right")]
-                at = np.searchsorted(part, s)
-                table[k, at[part[at] == s]] = 1
-            tables.append(table)
-        common += tables[0] @ tables[1].T
+    common = in_common(sa, sb)
     longer = np.maximum(na[:, None], nb[None])
     most = np.floor((1 - SIMILARITY) * longer + 1e-9)
-    near = (np.abs(na[:, None] - nb[None]) <= most) & (common >= longer - 1 - 2 * most - 1e-3) & (ca[:, None] != cb[None])
+    near = (np.abs(na[:, None] - nb[None]) <= most) & (common >= longer - 1 - 2 * most) & (ca[:, None] != cb[None])
     i, j = np.nonzero(near)
     # members of a class stand for it: a link between two classes that are linked already adds nothing
     done: dict[int, int] = {}

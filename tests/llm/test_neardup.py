@@ -136,6 +136,16 @@ def test_the_filter_never_parts_a_link():
         assert neardup.linked(a, b, neardup.word_pairs(a), neardup.word_pairs(b)) == (distance(list(a), list(b)) <= most)
 
 
+def test_values_in_common(monkeypatch):
+    rng = np.random.default_rng(6)
+    for _ in range(100):  # tables and single counts, in one part or many
+        monkeypatch.setattr(neardup, "DENSE", int(rng.integers(0, 300)))
+        monkeypatch.setattr(neardup, "EXPANDED", int(rng.integers(1, 500)))
+        sa, sb = ([np.unique(rng.integers(0, 40, int(rng.integers(0, 30)))) for _ in range(int(rng.integers(1, 50)))] for _ in range(2))
+        want = [[len(set(x.tolist()) & set(y.tolist())) for y in sb] for x in sa]
+        assert neardup.in_common(sa, sb).tolist() == want
+
+
 def test_recall_on_a_table(spark):
     """Of the pairs of different texts that at most a fifth of the words as edits lie between, nearly all share a class."""
     found = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
