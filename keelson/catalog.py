@@ -944,14 +944,14 @@ def _(spark, sf):
 # --- Streaming, run to the end of the present input -----------------------------------------------------------
 
 
-def _streamed(spark: SparkSession, source: DataFrame, batch, name: str) -> str:
+def _streamed(spark: SparkSession, source: DataFrame, batch, name: str, mode: str = "append") -> str:
     """Runs a stream of what there is through ``foreachBatch`` and returns the folder of its snapshots."""
     import uuid
 
     from keelson.session import shared_dir
 
     folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    job = source.writeStream.foreachBatch(batch(f"{folder}/state")).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    job = source.writeStream.outputMode(mode).foreachBatch(batch(f"{folder}/state")).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     job.awaitTermination()
     return f"{folder}/state"
 
@@ -1005,26 +1005,29 @@ def _(spark, sf):
     return spark.read.parquet(rows).select("event_id", "event_type")
 
 
-@query("str_07_late_data", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
-def _(spark, sf):
+def _window_stream(spark: SparkSession, sf: str, name: str, *window: str) -> DataFrame:
+    """start, event_type and n of the streamed events' windows, under a watermark; of each window the row of the last batch that changed it."""
     from keelson.streaming.folds import windowed_counts
 
-    return windowed_counts(table(spark, sf, "events"), "1 hour", "2 hours").groupBy("event_type").agg(F.sum("n").alias("n"))
+    counts = windowed_counts(_event_stream(spark, sf), *window)
+    folder = _streamed(spark, counts, lambda f: lambda batch, i: batch.write.mode("overwrite").parquet(f"{f}/batch={i}"), name, "update")
+    return spark.read.parquet(folder).groupBy("start", "event_type").agg(F.max_by("n", "batch").alias("n"))
 
 
-@query("str_08_tumbling_windows", "SELECT date_trunc('hour', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+@query("str_07_late_data", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def _(spark, sf):
-    from keelson.streaming.folds import windowed_counts
+    return _window_stream(spark, sf, "late", "1 hour", "2 hours").groupBy("event_type").agg(F.sum("n").alias("n"))
 
-    out = windowed_counts(table(spark, sf, "events"), "1 hour", "2 hours")
+
+@query("str_08_tumbling_windows", "SELECT date_trunc('hour', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def _(spark, sf):
+    out = _window_stream(spark, sf, "tumbling", "1 hour", "2 hours")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
 @query("str_08_sliding_windows", "SELECT (date_trunc('hour', ts) - o * INTERVAL 1 HOUR)::TIMESTAMP AS start, event_type, count(*) AS n FROM events, (SELECT unnest([0, 1]) AS o) GROUP BY ALL")
 def _(spark, sf):
-    from keelson.streaming.folds import windowed_counts
-
-    out = windowed_counts(table(spark, sf, "events"), "2 hours", "2 hours", "1 hour")
+    out = _window_stream(spark, sf, "sliding", "2 hours", "2 hours", "1 hour")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
@@ -1043,7 +1046,9 @@ def _(spark, sf):
 
 @query("str_09_stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")
 def _(spark, sf):
-    return table(spark, sf, "events").select("user_id", "event_type").dropDuplicates()
+    first = _event_stream(spark, sf).select("user_id", "event_type").dropDuplicates()
+    rows = _streamed(spark, first, lambda f: lambda batch, i: batch.write.mode("overwrite").parquet(f"{f}/batch={i}"), "first")
+    return spark.read.parquet(rows).select("user_id", "event_type")
 
 
 # --- Superset: what Spark SQL adds -------------------------------------------------------------------------------

@@ -32,3 +32,22 @@ def test_queue_stream(spark, tmp_path):
     job.awaitTermination()
     got = sorted((r["seq"], r["message_id"], r["version"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == [(3, "m1", 2), (4, "m2", 2), (6, "m2", 3)]
+
+
+def test_late_rows_are_left_out(spark, tmp_path):
+    """Rows in time order come in by three batches; one that is later than the watermark allows isn't counted."""
+    parts = [["2024-01-01 00:10:00", "2024-01-01 09:00:00"], ["2024-01-01 08:30:00", "2024-01-01 00:20:00"], ["2024-01-01 09:30:00"]]
+    folder, schema = tmp_path / "in", "ts timestamp, event_type string, value double"
+    got = {}
+
+    def keep(batch, i):
+        got.update({(r["start"].hour, r["event_type"]): r["n"] for r in batch.collect()})
+
+    for part in parts:  # a run of the stream for each, from the same checkpoint
+        spark.createDataFrame([(t, "a", 1.0) for t in part], "ts string, event_type string, value double").selectExpr(
+            "CAST(ts AS timestamp) AS ts", "event_type", "value"
+        ).coalesce(1).write.mode("append").parquet(str(folder))
+        counts = folds.windowed_counts(spark.readStream.schema(schema).parquet(str(folder)), "1 hour", "2 hours")
+        job = counts.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "c"))
+        job.trigger(availableNow=True).start().awaitTermination()
+    assert got == {(0, "a"): 1, (8, "a"): 1, (9, "a"): 2}
